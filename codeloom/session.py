@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    The archive is built on the driver and served to the executors by Spark.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_codeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{root.name}", "zip", root.parent, root.name)
+    sc.addPyFile(archive)
+    sc._codeloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table under ``sf_dir`` (one file or a folder of parts)."""
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
