@@ -6,11 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.cooccurrence import co_occurrence, coupled_files, touched_files
+from codeloom.llm.handwritten import mined_patterns, not_handwritten
 from codeloom.llm.mixing import mix_documents
+from codeloom.llm.parse_check import syntax_flags, syntax_rates
 from codeloom.llm.tokenize import encode_documents
 from codeloom.session import table
 
 
+def _p1(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "files"), table(spark, d, "sources"), table(spark, d, "index_config"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).select("file_id")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax_flags(table(spark, d, "sources")).where(~F.col("is_valid")).select("file_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax_rates(syntax_flags(table(spark, d, "sources")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return coupled_files(table(spark, d, "deltas"))
 
@@ -36,6 +58,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,

@@ -1,0 +1 @@
+"""Grammars, lexers and the recogniser of the supported languages."""

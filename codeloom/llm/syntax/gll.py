@@ -1,0 +1,252 @@
+"""A generalised LL recogniser with a graph-structured stack, for grammars written as EBNF text.
+
+Every nonterminal becomes one deterministic automaton over terminals and nonterminals. A parse
+works off configurations (state, stack node, position). A stack node stands for one nonterminal
+begun at one position and is shared by all callers; its edges say where to go on, and it keeps
+the positions at which it has ended, so every nonterminal is recognised once per position
+whatever the number of callers, left recursion included. One symbol of lookahead discards
+configurations that cannot go on. Several start symbols (dialects) run over one stack graph.
+
+A lexer may offer several terminals of different lengths at one position (a division sign or a
+regular expression, ``>>`` or ``>``); the grammar takes those that fit.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterable
+
+#: A lexer: position -> (kinds, ends): the terminals there and the positions after them.
+Lexer = Callable[[int], tuple[tuple[str, ...], tuple[int, ...]]]
+
+_SHIFT, _CALL, _RETURN = 0, 1, 2
+_DSL = re.compile(r"'[^'\s]+'|[A-Za-z_]\w*(?:-\[[^\]]*\])?|[()|*+?:;]")
+
+
+class _Builder:
+    """Rules to nondeterministic automata (lists of edges by state; None is an empty step)."""
+
+    def __init__(self) -> None:
+        self.edges: list[list[tuple[str | None, int]]] = []
+
+    def state(self) -> int:
+        self.edges.append([])
+        return len(self.edges) - 1
+
+    def alternatives(self, toks: list[str], at: int) -> tuple[int, int, int]:
+        start, end = self.state(), self.state()
+        while True:
+            s, e, at = self.sequence(toks, at)
+            self.edges[start].append((None, s))
+            self.edges[e].append((None, end))
+            if at >= len(toks) or toks[at] != "|":
+                return start, end, at
+            at += 1
+
+    def sequence(self, toks: list[str], at: int) -> tuple[int, int, int]:
+        first = last = self.state()
+        while at < len(toks) and toks[at] not in ("|", ")"):
+            if toks[at] == "(":
+                s, e, at = self.alternatives(toks, at + 1)
+                at += 1
+            else:
+                s, e = self.state(), self.state()
+                self.edges[s].append((toks[at], e))
+                at += 1
+            while at < len(toks) and toks[at] in "*+?":
+                a, b = self.state(), self.state()
+                self.edges[a].append((None, s))
+                self.edges[e].append((None, b))
+                if toks[at] != "?":
+                    self.edges[e].append((None, s))
+                if toks[at] != "+":
+                    self.edges[a].append((None, b))
+                s, e, at = a, b, at + 1
+            self.edges[last].append((None, s))
+            last = e
+        return first, last, at
+
+
+class Grammar:
+    """A compiled grammar: ``Name : alternatives ;`` rules, quoted or CAPITAL terminals,
+    ``( ) | * + ?``, and ``Name-['x' 'y']`` for a Name that may not begin with these terminals."""
+
+    def __init__(self, text: str):
+        toks = _DSL.findall(re.sub(r"(?m)^\s*#.*$", "", text))
+        rules, at = {}, 0
+        while at < len(toks):
+            end = at + 2
+            while toks[end] != ";":
+                end += 1
+            rules[toks[at]] = toks[at + 2 : end]
+            at = end + 1
+        self.barred: dict[str, frozenset[str]] = {}
+        self.base: dict[str, str] = {}
+        self.moves: list[dict[str, int]] = []
+        self.final: list[bool] = []
+        self.owner: list[str] = []
+        self.start: dict[str, int] = {}
+        for name, body in rules.items():
+            self._automaton(name, body, rules)
+        self._sets(rules)
+        self.table: dict[tuple[int, tuple[str, ...]], tuple] = {}
+
+    def _automaton(self, name: str, body: list[str], rules: dict) -> None:
+        b = _Builder()
+        s, e, _ = b.alternatives(body, 0)
+
+        def closed(states: Iterable[int]) -> frozenset[int]:
+            todo, seen = list(states), set()
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [y for sym, y in b.edges[x] if sym is None]
+            return frozenset(seen)
+
+        first = closed([s])
+        number = {first: len(self.moves)}
+        self.start[name] = len(self.moves)
+        todo = [first]
+        while todo:
+            now = todo.pop(0)
+            step: dict[str, set[int]] = {}
+            for x in now:
+                for sym, y in b.edges[x]:
+                    if sym is not None:
+                        step.setdefault(self._symbol(sym, rules), set()).add(y)
+            to = {}
+            for sym, ys in step.items():
+                nxt = closed(ys)
+                if nxt not in number:
+                    number[nxt] = number[first] + len(number)
+                    todo.append(nxt)
+                to[sym] = number[nxt]
+            self.moves.append(to)
+            self.final.append(e in now)
+            self.owner.append(name)
+
+    def _symbol(self, sym: str, rules: dict) -> str:
+        if sym[0] == "'":
+            return sym[1:-1]
+        if "-[" in sym:
+            base, rest = sym.split("-[")
+            self.base[sym], self.barred[sym] = base, frozenset(x.strip("'") for x in rest[:-1].split())
+        elif sym in rules:
+            self.base[sym] = sym
+        elif not sym.isupper():
+            raise ValueError(f"no rule for {sym}")
+        return sym
+
+    def _sets(self, rules: dict) -> None:
+        first = {n: set() for n in rules}
+        nullable = {n: False for n in rules}
+        reach = [set() for _ in self.moves]  # terminals that can come next from a state, within its rule
+        empties = [False] * len(self.moves)  # whether the rule can end here without input
+        changed = True
+        while changed:
+            changed = False
+            for s in range(len(self.moves) - 1, -1, -1):
+                r, n = set(reach[s]), empties[s] or self.final[s]
+                for sym, t in self.moves[s].items():
+                    if sym in self.base:
+                        r |= first[self.base[sym]] - self.barred.get(sym, frozenset())
+                        if nullable[self.base[sym]]:
+                            r |= reach[t]
+                            n = n or empties[t]
+                    else:
+                        r.add(sym)
+                if len(r) != len(reach[s]) or n != empties[s]:
+                    reach[s], empties[s], changed = r, n, True
+            for name, s in self.start.items():
+                if len(first[name]) != len(reach[s]) or nullable[name] != empties[s]:
+                    first[name], nullable[name], changed = set(reach[s]), empties[s], True
+        follow = {n: {"END"} for n in rules}  # any rule can be a start
+        changed = True
+        while changed:
+            changed = False
+            for s, to in enumerate(self.moves):
+                for sym, t in to.items():
+                    if sym in self.base:
+                        f = follow[self.base[sym]]
+                        n = len(f)
+                        f |= reach[t]
+                        if empties[t]:
+                            f |= follow[self.owner[s]]
+                        changed |= len(f) != n
+        self.first, self.nullable, self.follow, self.reach, self.empties = first, nullable, follow, reach, empties
+
+    def actions(self, state: int, kinds: tuple[str, ...]) -> tuple:
+        """What a state can do where the lexer offers ``kinds``; kept per state and offer."""
+        out = []
+        offer = set(kinds)
+        for sym, t in self.moves[state].items():
+            base = self.base.get(sym)
+            if base is None:
+                if sym in offer:
+                    out.append((_SHIFT, kinds.index(sym), t))
+                continue
+            if self.barred.get(sym, frozenset()) & offer:
+                continue
+            after = self.reach[t] | (self.follow[self.owner[state]] if self.empties[t] else set())
+            if self.first[base] & offer or self.nullable[base] and after & offer:
+                out.append((_CALL, base, t))
+        if self.final[state] and self.follow[self.owner[state]] & offer:
+            out.append((_RETURN, 0, 0))
+        self.table[state, kinds] = result = tuple(out)
+        return result
+
+    def accepts(self, lexer: Lexer, starts: Iterable[str], at: int = 0) -> bool:
+        """Whether the text behind ``lexer`` derives from one of ``starts`` (rules that end in EOF)."""
+        root: list = [[], []]  # a node: its edges (state, node) and the positions where it ended
+        nodes: dict[tuple[str, int], list] = {}
+        todo = [(self.start[s], root, at, None) for s in starts]
+        seen: set[tuple[int, int, int]] = set()
+        table, actions, start, final = self.table, self.actions, self.start, self.final
+        while todo:
+            state, node, pos, act = todo.pop()
+            while True:
+                kinds, ends = lexer(pos)
+                if act is None:
+                    acts = table.get((state, kinds))
+                    if acts is None:
+                        acts = actions(state, kinds)
+                    if not acts:
+                        break
+                    act = acts[0]
+                    if len(acts) > 1:
+                        todo += [(state, node, pos, a) for a in acts[1:]]
+                op, x, to = act
+                act = None
+                if op == _SHIFT:
+                    state, pos = to, ends[x]
+                    continue
+                if op == _CALL:
+                    key = x, pos
+                    child = nodes.get(key)
+                    if child is None:
+                        nodes[key] = node = [[(to, node)], []]
+                        state = start[x]
+                        continue
+                    if not any(s == to and n is node for s, n in child[0]):
+                        child[0].append((to, node))
+                        for end in child[1]:
+                            mark = to, id(node), end
+                            if mark not in seen:
+                                seen.add(mark)
+                                todo.append((to, node, end, None))
+                    break
+                if node is root:
+                    if "END" in kinds:
+                        return True
+                    break
+                if pos in node[1]:
+                    break
+                node[1].append(pos)
+                for s, n in node[0]:
+                    mark = s, id(n), pos
+                    if mark not in seen:
+                        seen.add(mark)
+                        todo.append((s, n, pos, None))
+                break
+        return False

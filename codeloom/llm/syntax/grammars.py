@@ -1,0 +1,421 @@
+"""Grammars of the supported languages and the test of a text against its dialects.
+
+Rules are EBNF; binary operators are listed flat, since precedence does not change what is
+accepted. Lines that begin with ``ts:`` or ``jsx:`` belong to dialects with types or elements.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from codeloom.llm.syntax.gll import Grammar
+from codeloom.llm.syntax.lexers import go_lexer, js_lexer, python_lexer, rust_lexer
+
+#: Language by the last extension of a path (fixed values).
+EXTENSIONS = {
+    "rs": "rust",
+    "ts": "type_script", "mts": "type_script", "cts": "type_script",
+    "tsx": "tsx",
+    "js": "java_script", "mjs": "java_script", "cjs": "java_script", "jsx": "java_script",
+    "py": "python", "pyi": "python",
+    "go": "go",
+}
+
+PYTHON = """
+File : Stmt* ;
+Stmt : Simple | Compound ;
+Simple : Small (';' Small)* ';'? NEWLINE ;
+Small : Exprs ( (':' Expr ('=' Value)?) | ('=' Value)+ | Aug Value )?
+  | Yield | 'return' Exprs? | 'raise' (Expr ('from' Expr)?)? | 'pass' | 'break' | 'continue'
+  | 'del' Exprs | 'assert' Expr (',' Expr)? | 'global' NAME (',' NAME)* | 'nonlocal' NAME (',' NAME)*
+  | 'import' Dotted ('as' NAME)? (',' Dotted ('as' NAME)?)*
+  | 'from' ( ('.' | '...')* Dotted | ('.' | '...')+ ) 'import' ( '*' | Froms | '(' Froms ','? ')' )
+  | 'type' NAME TypeParams? '=' Expr ;
+Froms : NAME ('as' NAME)? (',' NAME ('as' NAME)?)* ;
+Dotted : NAME ('.' NAME)* ;
+Value : Exprs | Yield ;
+Yield : 'yield' ('from' Expr | Exprs)? ;
+Aug : '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' ;
+Block : NEWLINE INDENT Stmt+ DEDENT | Simple ;
+Compound : Decorator* (Def | Class) | If | While | For | Try | With | Match | 'async' (For | With) ;
+Decorator : '@' Named NEWLINE ;
+Def : 'async'? 'def' NAME TypeParams? '(' Params? ')' ('->' Expr)? ':' Block ;
+TypeParams : '[' TypeParam (',' TypeParam)* ','? ']' ;
+TypeParam : ('*' | '**')? NAME (':' Expr)? ('=' Expr)? ;
+Params : Param (',' Param)* ','? ;
+Param : NAME (':' Expr)? ('=' Expr)? | '*' (NAME (':' ('*')? Expr)?)? | '**' NAME (':' Expr)? | '/' ;
+Class : 'class' NAME TypeParams? ('(' Args? ')')? ':' Block ;
+If : 'if' Named ':' Block ('elif' Named ':' Block)* Else? ;
+Else : 'else' ':' Block ;
+While : 'while' Named ':' Block Else? ;
+For : 'for' Targets 'in' Exprs ':' Block Else? ;
+Targets : Target (',' Target)* ','? ;
+Target : '*'? Primary ;
+Try : 'try' ':' Block ( ('except' '*'? (Exprs ('as' NAME)?)? ':' Block)+ Else? Finally? | Finally ) ;
+Finally : 'finally' ':' Block ;
+With : 'with' ( WithItem (',' WithItem)* | '(' WithItem (',' WithItem)* ','? ')' ) ':' Block ;
+WithItem : Expr ('as' Target)? ;
+Match : 'match' Exprs ':' NEWLINE INDENT Case+ DEDENT ;
+Case : 'case' Patterns ('if' Named)? ':' Block ;
+Patterns : PatternItem (',' PatternItem)* ','? ;
+PatternItem : '*' NAME | Pattern ;
+Pattern : Closed ('|' Closed)* ('as' NAME)? ;
+Closed : '-'? NUMBER (('+' | '-') NUMBER)? | STRING+ | 'None' | 'True' | 'False'
+  | NAME ('.' NAME)* ('(' (PatternArg (',' PatternArg)* ','?)? ')')?
+  | '(' Patterns? ')' | '[' Patterns? ']' | '{' (KeyPattern (',' KeyPattern)* ','?)? '}' ;
+PatternArg : Pattern | NAME '=' Pattern ;
+KeyPattern : Closed ':' Pattern | '**' NAME ;
+Exprs : Item (',' Item)* ','? ;
+Item : '*' Expr | Named ;
+Named : Expr | NAME ':=' Expr ;
+Expr : Or ('if' Or 'else' Expr)? | Lambda ;
+Lambda : 'lambda' LParams? ':' Expr ;
+LParams : LParam (',' LParam)* ','? ;
+LParam : NAME ('=' Expr)? | '*' NAME? | '**' NAME | '/' ;
+Or : Unary (Binary (Unary | Lambda))* ;
+Binary : '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '==' | '>=' | '<=' | '!='
+  | 'in' | 'not' 'in' | 'is' 'not'? | 'and' | 'or' ;
+Unary : ('not' | '-' | '+' | '~' | 'await')* Primary ;
+Primary : Atom Trailer* ;
+Trailer : '.' NAME | '(' Args? ')' | '[' Slice (',' Slice)* ','? ']' ;
+Args : Arg (',' Arg)* ','? ;
+Arg : Named Comp? | NAME '=' Expr | '*' Expr | '**' Expr ;
+Slice : Item | Expr? ':' Expr? (':' Expr?)? ;
+Atom : NAME | NUMBER | STRING+ | '...' | 'None' | 'True' | 'False'
+  | '(' (Yield | Exprs | Item Comp)? ')' | '[' (Exprs | Item Comp)? ']'
+  | '{' (Pair (',' Pair)* ','? | Expr ':' Expr Comp | Exprs | Item Comp)? '}' ;
+Pair : Expr ':' Expr | '**' Expr ;
+Comp : ('async'? 'for' Targets 'in' Or ('if' (Or | Lambda | NAME ':=' Or))*)+ ;
+"""
+
+GO = """
+File : 'package' NAME ';' (Import ';')* (Top ';')* ;
+Import : 'import' (ImportSpec | '(' (ImportSpec (';' ImportSpec)* ';'?)? ')') ;
+ImportSpec : (NAME | '.')? STR ;
+Top : Decl | 'func' NAME TypeParams? Signature Block? | 'func' Params NAME Signature Block? ;
+Decl : 'const' (ConstSpec | '(' (ConstSpec (';' ConstSpec)* ';'?)? ')')
+  | 'var' (VarSpec | '(' (VarSpec (';' VarSpec)* ';'?)? ')')
+  | 'type' (TypeSpec | '(' (TypeSpec (';' TypeSpec)* ';'?)? ')') ;
+ConstSpec : Names (Type? '=' Exprs)? ;
+VarSpec : Names (Type ('=' Exprs)? | '=' Exprs) ;
+TypeSpec : NAME TypeParams? '='? Type ;
+TypeParams : '[' TypeParam (',' TypeParam)* ','? ']' ;
+TypeParam : Names Constraint ;
+Constraint : '~'? Type ('|' '~'? Type)* ;
+Names : NAME (',' NAME)* ;
+Signature : Params (Params | Type)? ;
+Params : '(' (Param (',' Param)* ','?)? ')' ;
+Param : NAME? '...'? Type | NAME ;
+Type : TypeName | '*' Type | '(' Type ')' | LitType | ('chan' '<-'? | '<-' 'chan') Type | 'func' Signature
+  | 'interface' '{' (Elem (';' Elem)* ';'?)? '}' ;
+TypeName : NAME ('.' NAME)? ('[' Type (',' Type)* ','? ']')? ;
+LitType : '[' ']' Type | '[' (Expr | '...') ']' Type | 'map' '[' Type ']' Type | Struct ;
+Struct : 'struct' '{' (Field (';' Field)* ';'?)? '}' ;
+Field : (Names Type | '*'? TypeName) STR? ;
+Elem : NAME Signature | Constraint ;
+Block : '{' Stmts '}' ;
+Stmts : Stmt? (';' Stmt?)* ;
+Stmt : Decl | Basic | Block | 'go' Expr | 'defer' Expr | 'return' Exprs? | 'break' NAME? | 'continue' NAME? | 'goto' NAME | 'fallthrough'
+  | NAME ':' Stmt? | If | For | Switch | 'select' '{' CommCase* '}' ;
+Basic : Exprs (Assign Exprs | '++' | '--' | '<-' Expr)? ;
+Assign : '=' | ':=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^=' ;
+If : 'if' (Basic? ';')? Expr Block ('else' (If | Block))? ;
+For : 'for' ( Expr? | Basic? ';' Expr? ';' Basic? | (Exprs ('=' | ':='))? 'range' Expr ) Block ;
+Switch : 'switch' (Basic? ';')? Basic? '{' SwitchCase* '}' ;
+SwitchCase : ('case' ExprOrType (',' ExprOrType)* | 'default') ':' Stmts ;
+CommCase : ('case' Basic | 'default') ':' Stmts ;
+ExprOrType : Expr | Type ;
+Exprs : Expr (',' Expr)* ;
+Expr : Unary (Binary Unary)* ;
+Binary : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>>' | '&^' | '&&' | '||' | '==' | '!=' | '<' | '<=' | '>' | '>=' ;
+Unary : ('+' | '-' | '!' | '^' | '*' | '&' | '<-')* Primary ;
+Primary : Operand Suffix* ;
+Operand : NAME | NUM | STR | '(' (Expr | Type) ')' | 'func' Signature Block? | TypeName Literal | LitType (Literal | '(' Expr ','? ')')
+  | ('chan' '<-'? | '<-' 'chan') Type '(' Expr ')' | 'interface' '{' '}' '(' Expr ')' ;
+Literal : '{' (Keyed (',' Keyed)* ','?)? '}' ;
+Keyed : (Value ':')? Value ;
+Value : Expr | Literal ;
+Suffix : '.' NAME | '.' '(' ('type' | Type) ')' | '(' (CallArg (',' CallArg)* ','?)? ')'
+  | '[' (Expr | Type (',' Type)* ','? | Expr? ':' Expr? (':' Expr)?) ']' ;
+CallArg : (Expr | Type) '...'? ;
+"""
+
+RUST = """
+File : InnerAttr* Item* ;
+InnerAttr : '#' '!' '[' TT* ']' ;
+Attr : '#' '[' TT* ']' ;
+TT : '(' TT* ')' | '[' TT* ']' | '{' TT* '}' | Leaf ;
+Leaf : NAME | NUM | STR | CHAR | LIFE | Word | '_' | '<<=' | '>>=' | '...' | '..=' | '&&' | '||' | '->' | '=>' | '::' | '==' | '!=' | '<=' | '>='
+  | '<<' | '>>' | '..' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '-' | '+' | '*' | '/' | '%' | '&' | '|' | '^' | '<' | '>'
+  | '=' | '!' | ',' | ';' | '.' | ':' | '?' | '@' | '#' | '$' | '~' ;
+Word : 'as' | 'async' | 'await' | 'break' | 'const' | 'continue' | 'crate' | 'dyn' | 'else' | 'enum' | 'extern' | 'false' | 'fn' | 'for' | 'if'
+  | 'impl' | 'in' | 'let' | 'loop' | 'match' | 'mod' | 'move' | 'mut' | 'pub' | 'ref' | 'return' | 'self' | 'Self' | 'static' | 'struct'
+  | 'super' | 'trait' | 'true' | 'type' | 'unsafe' | 'use' | 'where' | 'while' | 'macro' | 'box' | 'do' | 'final' | 'try' | 'yield' ;
+Vis : 'pub' ('(' ('crate' | 'self' | 'super' | 'in' SimplePath) ')')? ;
+SimplePath : '::'? PathWord ('::' PathWord)* ;
+PathWord : NAME | 'crate' | 'self' | 'super' | 'Self' ;
+Item : Attr* (Vis? Thing | MacroItem) ;
+MacroItem : SimplePath '!' NAME? ( '{' TT* '}' | ('(' TT* ')' | '[' TT* ']') ';' ) ;
+Thing : Fn | Struct | Enum | 'union' NAME Generics? Where? Fields | Trait | Impl | 'mod' NAME (';' | '{' InnerAttr* Item* '}')
+  | 'use' UseTree ';' | Const | 'type' NAME Generics? (':' Bounds)? Where? ('=' Type)? Where? ';'
+  | 'extern' 'crate' PathWord ('as' (NAME | '_'))? ';' | 'unsafe'? 'extern' STR? '{' InnerAttr* Item* '}' ;
+Const : 'const' (NAME | '_') ':' Type ('=' Expr)? ';' | 'static' 'mut'? NAME ':' Type ('=' Expr)? ';' ;
+UseTree : '::'? (PathWord '::')* ( PathWord ('as' (NAME | '_'))? | '*' | '{' (UseTree (',' UseTree)* ','?)? '}' ) ;
+Fn : 'default'? 'const'? 'async'? 'unsafe'? ('extern' STR?)? 'fn' NAME Generics? '(' FnParams? ')' ('->' Type)? Where? (Block | ';') ;
+FnParams : FnParam (',' FnParam)* ','? ;
+FnParam : Attr* ( ('&' LIFE?)? 'mut'? 'self' (':' Type)? | Pattern ':' Type | '...' ) ;
+Generics : '<' (Generic (',' Generic)* ','?)? '>' ;
+Generic : Attr* ( LIFE (':' (LIFE ('+' LIFE)*)?)? | NAME (':' Bounds?)? ('=' Type)? | 'const' NAME ':' Type ('=' GenericArg)? ) ;
+Bounds : Bound ('+' Bound)* '+'? ;
+Bound : LIFE | '?'? ForLife? TypePath | '(' '?'? ForLife? TypePath ')' ;
+ForLife : 'for' Generics ;
+Where : 'where' (Clause (',' Clause)* ','?)? ;
+Clause : LIFE ':' (LIFE ('+' LIFE)*)? | ForLife? Type ':' Bounds? ;
+Struct : 'struct' NAME Generics? ( Where? (Fields | ';') | Tuple Where? ';' ) ;
+Fields : '{' (FieldDecl (',' FieldDecl)* ','?)? '}' ;
+FieldDecl : Attr* Vis? NAME ':' Type ;
+Tuple : '(' (Attr* Vis? Type (',' Attr* Vis? Type)* ','?)? ')' ;
+Enum : 'enum' NAME Generics? Where? '{' (Variant (',' Variant)* ','?)? '}' ;
+Variant : Attr* Vis? NAME (Fields | Tuple)? ('=' Expr)? ;
+Trait : 'unsafe'? 'auto'? 'trait' NAME Generics? (':' Bounds?)? Where? '{' InnerAttr* Item* '}' ;
+Impl : 'default'? 'unsafe'? 'impl' Generics? 'const'? ('!'? Type 'for')? Type Where? '{' InnerAttr* Item* '}' ;
+Type : TypePath | '&' LIFE? 'mut'? Type | '&&' LIFE? 'mut'? Type | '*' ('const' | 'mut') Type | '[' Type (';' Expr)? ']'
+  | '(' (Type (',' Type)* ','?)? ')' | '!' | '_' | ('impl' | 'dyn') Bounds | ForLife? FnType | ForLife TypePath | Macro ;
+FnType : 'unsafe'? ('extern' STR?)? 'fn' '(' (((NAME | '_') ':')? Type (',' ((NAME | '_') ':')? Type)* ','?)? ')' ('->' Type)? ;
+TypePath : (Qualified '::' | '::')? TypeSeg ('::' TypeSeg)* ;
+TypeSeg : PathWord ('::'? GenericArgs | '(' (Type (',' Type)* ','?)? ')' ('->' Type)?)? ;
+Qualified : '<' Type ('as' TypePath)? '>' ;
+GenericArgs : '<' (GenericItem (',' GenericItem)* ','?)? '>' ;
+GenericItem : LIFE | GenericArg | NAME GenericArgs? ('=' Type | ':' Bounds) ;
+GenericArg : Type | Block | '-'? (NUM | CHAR | STR) | 'true' | 'false' ;
+Macro : SimplePath '!' ('(' TT* ')' | '[' TT* ']' | '{' TT* '}') ;
+Pattern : '|'? PatternOne ('|' PatternOne)* ;
+PatternOne : Lit ((('..=' | '...' | '..') (Lit | ExprPath)?))? | ('..=' | '..') (Lit | ExprPath)? | '_' | 'ref'? 'mut'? NAME ('@' PatternOne)?
+  | ExprPath ( ('..=' | '...' | '..') (Lit | ExprPath)? | '(' (Pattern (',' Pattern)* ','?)? ')' | '{' (PatField (',' PatField)* ','?)? '}' )?
+  | '&' 'mut'? PatternOne | '&&' 'mut'? PatternOne | '(' (Pattern (',' Pattern)* ','?)? ')' | '[' (Pattern (',' Pattern)* ','?)? ']'
+  | 'box' PatternOne | 'const' Block | Macro ;
+PatField : Attr* ( (NAME | NUM) ':' Pattern | 'ref'? 'mut'? NAME | '..' ) ;
+Lit : '-'? NUM | STR | CHAR | 'true' | 'false' ;
+ExprPath : (Qualified '::' | '::')? ExprSeg ('::' ExprSeg)* ;
+ExprSeg : PathWord ('::' GenericArgs)? ;
+Block : '{' InnerAttr* Stmt* Expr? '}' ;
+Stmt : ';' | Item | Attr* 'let' Pattern (':' Type)? ('=' Expr ('else' Block)?)? ';' | Attr* Blocky | Expr ';' ;
+Blocky : (LIFE ':')? ( 'unsafe'? Block | 'loop' Block | 'while' Expr Block | 'for' Pattern 'in' Expr Block ) | 'const' Block | 'async' 'move'? Block
+  | If | 'match' Expr '{' InnerAttr* Arms '}' | SimplePath '!' '{' TT* '}' ;
+If : 'if' Expr Block ('else' (If | Block))? ;
+Arms : (Arm)* LastArm? ;
+ArmHead : Attr* Pattern ('if' Expr)? '=>' ;
+Arm : ArmHead (Expr ',' | Blocky ','?) ;
+LastArm : ArmHead Expr ;
+Expr : (('..' | '..=') (Unary (Binary Unary)*)? | Unary (Binary Unary)* ) (('..' | '..=') (Unary (Binary Unary)*)?)? (Assign Expr)? ;
+Binary : '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>>' | '&&' | '||' | '==' | '!=' | '<' | '<=' | '>' | '>=' ;
+Assign : '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' ;
+Unary : Attr* ('-' | '!' | '*' | ('&' | '&&') (('raw' ('const' | 'mut')) | 'mut')?)* Primary ('as' Type)* ;
+Primary : Operand Suffix* | 'let' Pattern '=' Unary | Closure | 'return' Expr? | 'break' LIFE? Expr? | 'continue' LIFE? | 'yield' Expr? ;
+Closure : 'static'? 'async'? 'move'? '|' (ClosureParam (',' ClosureParam)* ','?)? '|' ('->' Type Block | Expr) ;
+ClosureParam : Attr* PatternOne (':' Type)? ;
+Operand : Lit-['-'] | ExprPath | ExprPath StructBody | '(' (Expr (',' Expr)* ','?)? ')' | '[' (Expr (';' Expr | (',' Expr)* ','?))? ']' | Blocky | Macro | '_' ;
+StructBody : '{' ((FieldInit (',' FieldInit)* (',' ('..' Expr?)?)?) | '..' Expr?)? '}' ;
+FieldInit : Attr* (NAME (':' Expr)? | NUM ':' Expr) ;
+Suffix : '?' | '.' 'await' | '.' NAME ('::' GenericArgs)? | '.' NUM | '(' (Expr (',' Expr)* ','?)? ')' | '[' Expr ']' ;
+"""
+
+JS = """
+Script : Stmt* ;
+Module : ModuleItem* ;
+ModuleItem : Stmt | Import | Export ;
+Semi : ';' | ASI ;
+Import : 'import' STR With? Semi | 'import' ImportClause 'from' STR With? Semi
+ts:  | 'import' 'type' ImportClause 'from' STR With? Semi | 'import' 'type'? NAME '=' ('require' '(' STR ')' | Dotted) Semi
+  ;
+With : 'with' Object ;
+ImportClause : NAME (',' ('*' 'as' NAME | ImportNames))? | '*' 'as' NAME | ImportNames ;
+ImportNames : '{' (ImportName (',' ImportName)* ','?)? '}' ;
+ImportName : NAME | (IDNAME | STR) 'as' NAME
+ts:  | 'type' (NAME | IDNAME 'as' NAME)
+  ;
+Export : 'export' ('*' ('as' (IDNAME | STR))? 'from' STR With? Semi | ExportNames ('from' STR With?)? Semi | Decl | Var Semi
+  | 'default' (Function | Class | ExprStart Semi)
+ts:  | 'type' ExportNames ('from' STR With?)? Semi | 'type' '*' ('as' IDNAME)? 'from' STR Semi | '=' Expr Semi | 'as' 'namespace' NAME Semi
+ts:  | 'import' NAME '=' ('require' '(' STR ')' | Dotted) Semi | 'default' (Interface | 'abstract' Class)
+  ) ;
+ExportNames : '{' (ExportName (',' ExportName)* ','?)? '}' ;
+ExportName : (IDNAME | STR) ('as' (IDNAME | STR))?
+ts:  | 'type' IDNAME ('as' IDNAME)?
+  ;
+ExprStart : Assign-['function' 'class'] ;
+Decl : Decorator* Class | Function
+ts:  | Interface | TypeAlias | EnumDecl | Namespace | Declare | 'abstract' Class
+  ;
+ts: Interface : 'interface' NAME TypeParams? ('extends' Type (',' Type)*)? ObjectType ;
+ts: TypeAlias : 'type' NAME TypeParams? '=' Type Semi ;
+ts: EnumDecl : 'const'? 'enum' NAME '{' (EnumMember (',' EnumMember)* ','?)? '}' ;
+ts: EnumMember : PropName ('=' Assign)? ;
+ts: Namespace : ('namespace' | 'module') (Dotted | STR) '{' ModuleItem* '}' ;
+ts: Declare : 'declare' ( Decl | Var Semi | 'global' '{' ModuleItem* '}' | ('module') STR Semi ) ;
+Dotted : NAME ('.' IDNAME)* ;
+Stmt : Block | ';' | Decl | Var Semi | ExprStmt Semi | 'if' '(' Expr ')' Stmt ('else' Stmt)? | 'while' '(' Expr ')' Stmt
+  | 'do' Stmt 'while' '(' Expr ')' ';'? | For | 'continue' NAME? Semi | 'break' NAME? Semi | 'return' Expr? Semi | 'throw' Expr Semi
+  | 'try' Block ('catch' ('(' Binding TypeAnn? ')')? Block ('finally' Block)? | 'finally' Block) | Switch | NAME ':' Stmt | 'debugger' Semi
+  | 'with' '(' Expr ')' Stmt ;
+Block : '{' Stmt* '}' ;
+Switch : 'switch' '(' Expr ')' '{' ('case' Expr ':' Stmt* | 'default' ':' Stmt*)* '}' ;
+For : 'for' 'await'? '(' ( (Var | Expr)? ';' Expr? ';' Expr? | (('var' | 'let' | 'const') Binding TypeAnn? | Unary) ('in' Expr | 'of' Assign) ) ')' Stmt ;
+Var : ('var' | 'let' | 'const') VarItem (',' VarItem)* ;
+VarItem : Binding '!'? TypeAnn? ('=' Assign)? ;
+TypeAnn :
+ts:  ':' Type |
+  NEVER ;
+Binding : NAME | ObjectPattern | ArrayPattern
+ts:  | 'this'
+  ;
+ObjectPattern : '{' (PatternProp (',' PatternProp)* ','?)? '}' ;
+PatternProp : '...' Binding | PropName ':' Binding ('=' Assign)? | NAME ('=' Assign)? ;
+ArrayPattern : '[' PatternElem? (',' PatternElem?)* ']' ;
+PatternElem : '...'? Binding ('=' Assign)? ;
+ExprStmt : Expr-['{' 'function' 'class'] ;
+Expr : Assign (',' Assign)* ;
+Assign : Cond (AssignOp Assign)? | Arrow | 'yield' ('*'? Assign)? ;
+AssignOp : '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' ;
+Cond : Binary ('?' Assign ':' Assign)? ;
+Binary : Operand (BinaryOp Operand)* ;
+Operand : Unary
+ts:  ( ('as' | 'satisfies') Type | 'as' 'const' )*
+  | PRIV ;
+BinaryOp : '+' | '-' | '*' | '/' | '%' | '**' | '<<' | '>>' | '>>>' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&' | '|' | '^' | '&&' | '||' | '??'
+  | 'in' | 'instanceof' ;
+Unary : Prefix* Postfix ;
+Prefix : '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new'
+cast:  | '<' Type '>'
+  ;
+Postfix : Primary Suffix* ('++' | '--')? ;
+Suffix : '.' (IDNAME | PRIV) | '?.' (IDNAME | PRIV | '[' Expr ']' | Args | Template) | '[' Expr ']' | Args | Template
+ts:  | '!' | TypeArgs | '?.' TypeArgs Args
+  ;
+Args : '(' (Arg (',' Arg)* ','?)? ')' ;
+Arg : '...'? Assign ;
+Primary : NAME | NUM | STR | REGEX | Template | '(' Expr ')' | Array | Object | Function | Decorator* Class | 'this' | 'super' | 'null' | 'true' | 'false'
+  | 'import' (Args | '.' IDNAME) | 'new' '.' 'target'
+jsx:  | Element
+  ;
+Template : TFULL | THEAD Expr (TMID Expr)* TTAIL ;
+Array : '[' Arg? (',' Arg?)* ']' ;
+Object : '{' (Prop (',' Prop)* ','?)? '}' ;
+Prop : '...' Assign | PropName ':' Assign | NAME ('=' Assign)? | ('get' | 'set' | 'async'? '*'?) PropName TypeParams? Params ReturnAnn? Block ;
+PropName : IDNAME | STR | NUM | '[' Assign ']' | PRIV ;
+Function : 'async'? 'function' '*'? NAME? TypeParams? Params ReturnAnn? FunctionBody ;
+FunctionBody : Block
+ts:  | Semi
+  ;
+ReturnAnn :
+ts:  ':' ReturnType |
+  NEVER ;
+Params : '(' (Param (',' Param)* ','?)? ')' ;
+Param : Decorator*
+ts:  ('public' | 'private' | 'protected' | 'readonly' | 'override')*
+  '...'? Binding
+ts:  '?'?
+  TypeAnn? ('=' Assign)? ;
+Arrow : 'async'? (NAME | TypeParams? Params ReturnAnn?) '=>' (Block | ArrowExpr) ;
+ArrowExpr : Assign-['{'] ;
+Decorator : '@' Postfix ;
+Class : 'class' NAME? TypeParams? ('extends' Postfix)?
+ts:  ('implements' Type (',' Type)*)?
+  '{' Member* '}' ;
+Member : ';' | 'static' Block | Decorator* Modifier* ( Field Semi | Method ) ;
+Modifier : 'static' | 'async' | 'get' | 'set' | '*' | 'accessor'
+ts:  | 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'declare' | 'override'
+  ;
+Field : PropName
+ts:  ('?' | '!')?
+  TypeAnn? ('=' Assign)?
+ts:  | '[' NAME ':' Type ']' TypeAnn
+  ;
+Method : PropName
+ts:  '?'?
+  TypeParams? Params ReturnAnn? FunctionBody ;
+TypeParams :
+ts:  '<' TypeParam (',' TypeParam)* ','? '>' |
+  NEVER ;
+ts: TypeParam : ('const' | 'in' | 'out')* NAME ('extends' Type)? ('=' Type)? ;
+ts: ReturnType : Type | 'asserts' (NAME | 'this') ('is' Type)? | (NAME | 'this') 'is' Type ;
+ts: Type : FnType | Union ('extends' Type '?' Type ':' Type)? ;
+ts: FnType : 'abstract'? 'new'? TypeParams? Params '=>' ReturnType ;
+ts: Union : '|'? Intersection ('|' Intersection)* ;
+ts: Intersection : '&'? TypeUnary ('&' TypeUnary)* ;
+ts: TypeUnary : ('keyof' | 'unique' | 'readonly')* TypePostfix | 'infer' NAME ('extends' TypePostfix)? ;
+ts: TypePostfix : TypePrimary ('[' Type? ']')* ;
+ts: TypePrimary : Dotted TypeArgs? | STR | '-'? NUM | TFULL | THEAD Type (TMID Type)* TTAIL | 'null' | 'void' | 'true' | 'false' | 'this' | ObjectType | '[' (TupleItem (',' TupleItem)* ','?)? ']'
+ts:  | '(' Type ')' | 'typeof' (Dotted TypeArgs? | 'import' '(' STR ')' ('.' IDNAME)* | 'this' ('.' IDNAME)*) | 'import' '(' STR ')' ('.' IDNAME)* TypeArgs? ;
+ts: TupleItem : '...'? (IDNAME '?'? ':')? Type '?'? ;
+ts: TypeArgs : '<' Type (',' Type)* '>' ;
+ts: ObjectType : '{' (TypeMember (';' | ',' | ASI))* TypeMember? '}' ;
+ts: TypeMember : ('readonly' | '-' 'readonly' | '+' 'readonly' | 'get' | 'set')? ( PropName '?'? ( TypeAnn? | TypeParams? Params ReturnAnn? ) | '[' NAME ':' Type ']' TypeAnn
+ts:  | '[' NAME 'in' Type ('as' Type)? ']' (('-' | '+')? '?')? TypeAnn? ) | 'new'? TypeParams? Params ReturnAnn? ;
+jsx: Element : '<' ( '>' Child* '<' '/' '>' | TagName Attribute* ('/' '>' | '>' Child* '<' '/' TagName '>') ) ;
+jsx: TagName : (IDNAME | JSXID) (('.' | ':') IDNAME)*
+jsxts:  TypeArgs?
+jsx:  ;
+jsx: Attribute : (IDNAME | JSXID) (':' IDNAME)? ('=' (STR | '{' Assign '}' | Element))? | '{' '...' Assign '}' ;
+jsx: Child : JSXTEXT | Element | '{' ('...'? Expr)? '}' ;
+"""
+
+
+def _only(text: str, *features: str) -> str:
+    """The rules of ``text`` for a dialect with ``features``."""
+    out = []
+    for line in text.splitlines():
+        m = re.match(r"(ts|jsx|jsxts|cast):", line)
+        if m is None or m[1] in features:
+            out.append(line[m.end() :] if m else line)
+    return "\n".join(out)
+
+
+@lru_cache(maxsize=None)
+def grammar(dialect: str) -> Grammar:
+    """The compiled grammar of a dialect, built once per process."""
+    text = {
+        "python": PYTHON,
+        "go": GO,
+        "rust": RUST,
+        "js": _only(JS),
+        "jsx": _only(JS, "jsx"),
+        "ts": _only(JS, "ts", "cast"),
+        "tsx": _only(JS, "ts", "jsx", "jsxts"),
+    }[dialect]
+    return Grammar(text)
+
+
+#: Start symbols of a dialect that run together: a text is valid if one of them accepts it.
+STARTS = {"python": ("File",), "go": ("File",), "rust": ("File",), "js": ("Script", "Module"), "jsx": ("Script", "Module"), "ts": ("Script", "Module"), "tsx": ("Script", "Module")}
+
+
+def dialects_of(path: str) -> tuple[str, ...]:
+    """The dialects of a path's extension; empty where it is no source file."""
+    ext = path.rsplit("/", 1)[-1].rpartition(".")
+    language = EXTENSIONS.get(ext[2]) if ext[1] else None
+    if language is None:
+        return ()
+    if language == "java_script":
+        return ("jsx",) if ext[2] == "jsx" else ("js",)
+    return {"type_script": ("ts",), "tsx": ("tsx",)}.get(language, (language,))
+
+
+def is_valid(path: str, text: str) -> bool:
+    """Whether a dialect of the path's language accepts the text; an empty file is valid
+    (except for Go, whose grammar needs a package clause; an empty Go file counts as valid too)."""
+    if not text.strip("﻿ \t\r\n\f"):
+        return True
+    for d in dialects_of(path):
+        if d == "python":
+            lexer = python_lexer(text)
+        elif d == "go":
+            lexer = go_lexer(text)
+        elif d == "rust":
+            lexer = rust_lexer(text)
+        else:
+            lexer = js_lexer(text, d in ("jsx", "tsx"))
+        if lexer is not None and grammar(d).accepts(lexer, STARTS[d]):
+            return True
+    return False

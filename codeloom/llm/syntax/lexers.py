@@ -1,0 +1,347 @@
+"""Lexers that offer the recogniser the terminals at a position.
+
+``END`` is the end of the text. A position without a valid terminal offers ``BAD``, which no
+grammar knows. Where a language lets one text be read in several ways the lexer offers all.
+"""
+
+from __future__ import annotations
+
+import re
+
+from codeloom.llm.syntax.gll import Lexer
+
+_BAD = (("BAD",), (0,))
+
+
+def _listed(tokens: list[tuple[str, ...]]) -> Lexer:
+    """The lexer over tokens found beforehand (each a tuple of kinds)."""
+    offers = [(k, (i + 1,) * len(k)) for i, k in enumerate(tokens)] + [(("END",), (len(tokens),))]
+    return lambda at: offers[at]
+
+
+# ---------------------------------------------------------------- Python
+
+_PY_STRING = re.compile(
+    r"""([rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.S
+)
+_PY_NUMBER = re.compile(
+    r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
+)
+_PY_OP = re.compile(r"\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|>>|<<|<=|>=|==|!=|[-+*/%@&|^]=|[-+*/%@&|^~<>()\[\]{},:.;=]")
+_PY_NAME = re.compile(r"[^\W\d]\w*")
+_PY_WORDS = frozenset(
+    "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
+)
+_PY_SOFT = frozenset(("match", "case", "type"))
+
+
+def _braces_close(body: str) -> bool:
+    """Whether the replacement fields of an f-string are opened, filled and closed."""
+    depth, at, filled = 0, 0, True
+    while at < len(body):
+        two = body[at : at + 2]
+        if depth == 0 and two in ("{{", "}}"):
+            at += 2
+            continue
+        c = body[at]
+        if c == "{":
+            depth += 1
+            filled = False
+        elif c == "}":
+            if depth == 0 or not filled:
+                return False
+            depth -= 1
+        elif depth and not c.isspace():
+            filled = filled or c not in "!:"
+        at += 1
+    return depth == 0
+
+
+def python_tokens(text: str) -> list[tuple[str, ...]] | None:
+    """Tokens with NEWLINE, INDENT and DEDENT, or None where the text has no tokens."""
+    if "\0" in text:
+        return None
+    text = text.removeprefix("\ufeff")
+    out: list[tuple[str, ...]] = []
+    levels = [(0, 0)]
+    closing: list[str] = []
+    at, n, fresh = 0, len(text), True
+    while True:
+        if fresh and not closing:
+            wide = narrow = 0  # with tabs of eight columns, and of one
+            while at < n and text[at] in " \t\f":
+                c = text[at]
+                wide, narrow = (0, 0) if c == "\f" else ((wide // 8 + 1) * 8, narrow + 1) if c == "\t" else (wide + 1, narrow + 1)
+                at += 1
+            if at < n and text[at] not in "#\r\n" and not (text[at] == "\\" and text[at + 1 : at + 2] in ("\n", "\r")):
+                top = levels[-1]
+                if (wide > top[0]) != (narrow > top[1]) or (wide == top[0]) != (narrow == top[1]):
+                    return None
+                if wide > top[0]:
+                    levels.append((wide, narrow))
+                    out.append(("INDENT",))
+                else:
+                    while wide < levels[-1][0]:
+                        levels.pop()
+                        out.append(("DEDENT",))
+                    if levels[-1] != (wide, narrow):
+                        return None
+            fresh = False
+        if at >= n:
+            break
+        c = text[at]
+        if c in " \t\f":
+            at += 1
+        elif c in "\r\n":
+            at += 2 if text.startswith("\r\n", at) else 1
+            if not closing:
+                if out and out[-1] not in (("NEWLINE",), ("INDENT",), ("DEDENT",)):
+                    out.append(("NEWLINE",))
+                fresh = True
+        elif c == "#":
+            end = re.compile(r"[\r\n]").search(text, at)
+            at = end.start() if end else n
+        elif c == "\\" and (m := re.compile(r"\\(?:\r\n|\r|\n)").match(text, at)) and m.end() < n:
+            at = m.end()
+        elif m := _PY_STRING.match(text, at):
+            prefix = m[1].lower()
+            if prefix not in ("", "r", "b", "u", "f", "t", "rb", "br", "rf", "fr", "rt", "tr"):
+                return None
+            if "f" in prefix or "t" in prefix:
+                quotes = 3 if m[0][len(prefix) : len(prefix) + 3] in ('"""', "'''") else 1
+                if not _braces_close(m[0][len(prefix) + quotes : -quotes]):
+                    return None
+            out.append(("STRING",))
+            at = m.end()
+        elif m := _PY_NAME.match(text, at):
+            w = m[0]
+            out.append((w,) if w in _PY_WORDS else ("NAME", w) if w in _PY_SOFT else ("NAME",))
+            at = m.end()
+        elif m := _PY_NUMBER.match(text, at):
+            if re.fullmatch(r"0[\d_]*[1-9][\d_]*", m[0]):
+                return None
+            out.append(("NUMBER",))
+            at = m.end()
+        elif m := _PY_OP.match(text, at):
+            op = m[0]
+            if op in "([{":
+                closing.append({"(": ")", "[": "]", "{": "}"}[op])
+            elif op in ")]}" and (not closing or closing.pop() != op):
+                return None
+            out.append((op,))
+            at = m.end()
+        else:
+            return None
+    if closing:
+        return None
+    if out and out[-1] not in (("NEWLINE",), ("DEDENT",), ("INDENT",)):
+        out.append(("NEWLINE",))
+    return out + [("DEDENT",)] * (len(levels) - 1)
+
+
+def python_lexer(text: str) -> Lexer | None:
+    tokens = python_tokens(text)
+    return None if tokens is None else _listed(tokens)
+
+
+# ---------------------------------------------------------------- Go
+
+_GO = re.compile(
+    r"""(?P<skip>[ \t\r]+)|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*.*?\*/)|(?P<NAME>[^\W\d]\w*)"""
+    r"""|(?P<NUM>0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?i?|\d[\d_]*\.?(?:[eE][+-]?\d+)?i?)"""
+    r"""|(?P<RAW>`[^`]*`)|(?P<STR>"(?:[^"\\\n]|\\.)*")|(?P<CHAR>'(?:[^'\\\n]|\\(?:[abfnrtv\\'"]|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}))')"""
+    r"""|(?P<OP><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|<<|>>|&\^|[-+*/%&|^]=|[-+*/%&|^<>=!()\[\]{},;.:~])""",
+    re.S,
+)
+_GO_WORDS = frozenset(
+    "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
+)
+_GO_ENDS = frozenset(("NAME", "NUM", "STR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"))
+
+
+def go_lexer(text: str) -> Lexer | None:
+    if "\0" in text:
+        return None
+    text = text.removeprefix("\ufeff")
+    out: list[tuple[str, ...]] = []
+    at, n = 0, len(text)
+    while at < n:
+        m = _GO.match(text, at)
+        if m is None:
+            return None
+        at, kind = m.end(), m.lastgroup
+        if kind == "nl" or kind == "line" or (kind == "block" and "\n" in m[0]):
+            # a line comment stands before its newline, so the newline itself decides
+            if kind != "line" and out and out[-1][0] in _GO_ENDS:
+                out.append((";",))
+        elif kind == "NAME":
+            out.append((m[0],) if m[0] in _GO_WORDS else ("NAME",))
+        elif kind in ("RAW", "STR"):
+            out.append(("STR",))
+        elif kind in ("NUM", "CHAR"):
+            out.append(("NUM",))
+        elif kind == "OP":
+            out.append((m[0],))
+    if out and out[-1][0] in _GO_ENDS:
+        out.append((";",))
+    return _listed(out)
+
+
+# ---------------------------------------------------------------- Rust
+
+_RS_SKIP = re.compile(r"(?:\s+|//[^\n]*)+")
+_RS_TOKEN = re.compile(
+    r"""(?P<RAWSTR>(?:br|cr|r)(?P<h>\#*)".*?"(?P=h)(?!\#))|(?P<STR>[bc]?"(?:[^"\\]|\\.)*")|(?P<CHAR>b?'(?:[^'\\\n\t]|\\(?:[nrt\\0'"]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))')"""
+    r"""|(?P<LIFE>'[^\W\d]\w*)|(?P<NAME>(?:r\#)?[^\W\d]\w*)"""
+    r"""|(?P<NUM>0x[\da-fA-F_]+(?:[ui](?:8|16|32|64|128|size))?|0b[01_]+(?:[ui](?:8|16|32|64|128|size))?|0o[0-7_]+(?:[ui](?:8|16|32|64|128|size))?|\d[\d_]*(?:\.(?![.\w])|(?:\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[uif](?:8|16|32|64|128|size))?)(?!\w)"""
+    r"""|(?P<OP><<=|>>=|\.\.\.|\.\.=|&&|\|\||->|=>|::|==|!=|<=|>=|<<|>>|\.\.|[-+*/%&|^]=|[-+*/%&|^<>=!()\[\]{},;.:?@\#$~])""",
+    re.S,
+)
+_RS_WORDS = frozenset(
+    "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while abstract become box do final macro override priv typeof unsized virtual yield try".split()
+)
+_RS_SPLIT = {op: op[0] for op in (">>", ">=", ">>=", "<<", "&&", "||", "<<=")}
+_RS_HALF = {">>=": ">>"}
+
+
+def rust_lexer(text: str) -> Lexer | None:
+    text = text.removeprefix("\ufeff")
+    if text.startswith("#!") and not re.match(r"#!\s*\[", text):
+        text = text[text.find("\n") + 1 :] if "\n" in text else ""
+    cache: dict[int, tuple] = {}
+    n = len(text)
+
+    def skip(at: int) -> int:
+        while True:
+            if m := _RS_SKIP.match(text, at):
+                at = m.end()
+            if not text.startswith("/*", at):
+                return at
+            depth, at = 1, at + 2
+            while depth:
+                m = re.compile(r"/\*|\*/").search(text, at)
+                if m is None:
+                    return -1
+                depth += 1 if m[0] == "/*" else -1
+                at = m.end()
+
+    def lex(at: int) -> tuple:
+        if (found := cache.get(at)) is not None:
+            return found
+        if at < 0:
+            return _BAD
+        if at == 0 and (start := skip(0)) != 0:
+            offer = lex(start)
+        elif at >= n:
+            offer = (("END",), (at,))
+        elif (m := _RS_TOKEN.match(text, at)) is None:
+            offer = _BAD
+        else:
+            kind, word, end = m.lastgroup, m[0], skip(m.end())
+            if kind == "h":
+                kind = "RAWSTR"
+            if kind == "NAME":
+                kinds = (word,) if word in _RS_WORDS else ("NAME", word) if word in ("union", "auto", "default", "macro_rules", "raw", "_") else ("NAME",)
+                if word == "_":
+                    kinds = ("_",)
+                offer = (kinds, (end,) * len(kinds))
+            elif kind == "OP":
+                kinds, ends = [word], [end]
+                if word in _RS_SPLIT:
+                    kinds.append(_RS_SPLIT[word])
+                    ends.append(at + 1)
+                if word in _RS_HALF:
+                    kinds.append(_RS_HALF[word])
+                    ends.append(at + 2)
+                offer = (tuple(kinds), tuple(ends))
+            else:
+                kind = "STR" if kind == "RAWSTR" else kind
+                offer = ((kind,), (end,))
+        cache[at] = offer
+        return offer
+
+    return lex
+
+
+# ---------------------------------------------------------------- JavaScript, TypeScript
+
+_JS_SKIP = re.compile(r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*.*?\*/)+", re.S)
+_JS_TOKEN = re.compile(
+    r"""(?P<NAME>(?:[^\W\d]|\$)(?:\w|[$\u200c\u200d])*)|(?P<PRIV>\#(?:[^\W\d]|\$)[\w$]*)"""
+    r"""|(?P<NUM>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?|\d[\d_]*\.?(?:[eE][+-]?\d+)?)n?(?![\w$]))"""
+    r"""|(?P<STR>"(?:[^"\\\n\r]|\\(?:\r\n|.))*"|'(?:[^'\\\n\r]|\\(?:\r\n|.))*')|(?P<TFULL>`(?:[^`\\$]|\\.|\$(?!\{))*`)|(?P<THEAD>`(?:[^`\\$]|\\.|\$(?!\{))*\$\{)"""
+    r"""|(?P<OP>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\*\*|<<|>>|[-+*/%&|^]=|[-+*/%&|^~!<>=?:;,.(){}\[\]@])""",
+    re.S,
+)
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*(?!\w)")
+_JS_TREST = re.compile(r"\}(?:[^`\\$]|\\.|\$(?!\{))*(?P<end>`|\$\{)", re.S)
+_JS_JSXTEXT = re.compile(r"[^{}<>]+")
+_JS_JSXID = re.compile(r"[^\W\d][\w$]*(?:-[\w$]*)+")
+_JS_WORDS = frozenset(
+    "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
+)
+#: Words with a meaning of their own that are names elsewhere.
+_JS_SOFT = frozenset(
+    "let static async await yield of get set as from type interface namespace module declare abstract readonly public private protected override implements keyof infer is asserts satisfies unique accessor global require out target meta using".split()
+)
+
+
+def js_lexer(text: str, jsx: bool) -> Lexer | None:
+    text = text.removeprefix("\ufeff")
+    if text.startswith("#!"):
+        text = "//" + text[2:]
+    cache: dict[int, tuple] = {}
+    breaks: set[int] = set()  # positions with a line break before them
+    n = len(text)
+
+    def skip(at: int) -> int:
+        m = _JS_SKIP.match(text, at)
+        if m is None:
+            return at
+        if re.search(r"[\n\r\u2028\u2029]", m[0]):
+            breaks.add(m.end())
+        return m.end()
+
+    def lex(at: int) -> tuple:
+        if (found := cache.get(at)) is not None:
+            return found
+        if at == 0 and (start := skip(0)) != 0:
+            cache[0] = offer = lex(start)
+            return offer
+        if at >= n:
+            cache[at] = offer = (("END", "ASI"), (at, at))
+            return offer
+        kinds: list[str] = []
+        ends: list[int] = []
+        m = _JS_TOKEN.match(text, at)
+        if m is not None:
+            kind, word, end = m.lastgroup, m[0], skip(m.end())
+            if kind == "NAME":
+                kinds = ["IDNAME", word] if word in _JS_WORDS else ["IDNAME", "NAME", word] if word in _JS_SOFT else ["IDNAME", "NAME"]
+                ends = [end] * len(kinds)
+                if jsx and (j := _JS_JSXID.match(text, at)):
+                    kinds.append("JSXID")
+                    ends.append(skip(j.end()))
+            elif kind == "OP":
+                kinds, ends = [word], [end]
+                if word[0] in "<>" and len(word) > 1:
+                    kinds.append(word[0])
+                    ends.append(at + 1)
+                elif word == "}" and (t := _JS_TREST.match(text, at)):
+                    kinds.append("TTAIL" if t["end"] == "`" else "TMID")
+                    ends.append(skip(t.end()))
+            else:
+                kinds, ends = [kind], [end]
+        if text[at] == "/" and (r := _JS_REGEX.match(text, at)):
+            kinds.append("REGEX")
+            ends.append(skip(r.end()))
+        if at in breaks or text[at] == "}":
+            kinds.append("ASI")
+            ends.append(at)
+        if jsx and (t := _JS_JSXTEXT.match(text, at)):
+            kinds.append("JSXTEXT")
+            ends.append(t.end())
+        cache[at] = offer = (tuple(kinds), tuple(ends)) if kinds else _BAD
+        return offer
+
+    return lex
