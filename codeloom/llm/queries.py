@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.cooccurrence import co_occurrence, coupled_files, touched_files
+from codeloom.llm.doc_pairs import code_pairs, described_functions
 from codeloom.llm.handwritten import mined_patterns, not_handwritten
 from codeloom.llm.mixing import mix_documents
 from codeloom.llm.parse_check import syntax_flags, syntax_rates
+from codeloom.llm.sentences import sentence_units
 from codeloom.llm.tokenize import encode_documents
 from codeloom.session import table
 
@@ -33,6 +35,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax_rates(syntax_flags(table(spark, d, "sources")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return described_functions(table(spark, d, "symbols")).select("symbol_id")
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return code_pairs(table(spark, d, "symbols"), table(spark, d, "sources"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return coupled_files(table(spark, d, "deltas"))
 
@@ -57,16 +67,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p8_repeats": p8_repeats,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 _TOUCH = r"""
