@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Kinds of a reference (fixed values of the data model).
 REF_KINDS = ("call", "import", "extends", "implements", "instantiation", "type_usage")
-CHUNK_ROWS = 262_144
+CHUNK_ROWS = 32_768
 FAN_IN = 16
 
 
