@@ -92,9 +92,12 @@ def _one_literal(code: str, inside: int, least: int = 300) -> bool:
     while m := _HEAD.match(code):
         code = code[m.end() :]
     body = re.sub(r"(?:\"\"|[A-Za-z_]\w*)\s*:(?!:)", ":", code)  # keys
-    rest = re.sub(r"\b(?:true|false|null|undefined|None|True|False|nil)\b|\b0[xX][0-9a-fA-F_]+\b|\b\d[\w.]*", "", body)
-    names = re.findall(r"[^\W\d]\w*", rest)
-    return len(names) <= 9 and len(re.sub(r"\s+", "", code)) + inside >= least and len(re.findall(r"(?<![=!<>])=(?![=>])", rest)) <= 1
+    body = re.sub(r"\b(?:true|false|null|undefined|None|True|False|nil)\b", "0", body)
+    first = re.search(r"\"\"|(?<!\w)\d", body)
+    if first is None or len(re.sub(r"\s+", "", code)) + inside < least:
+        return False
+    before, after = body[: first.start()], re.sub(r"\b0[xX][0-9a-fA-F_]+\b|\b\d[\w.]*", "", body[first.start() :])
+    return len(re.findall(r"[^\W\d]\w*", before)) <= 12 and not re.search(r"[^\W\d]|=", after)
 
 
 def evidence_of(path: str, text: str | None, language: str) -> str | None:
@@ -211,7 +214,7 @@ def not_handwritten(files: DataFrame, sources: DataFrame, config: DataFrame) ->
         )
     )
     # Word-for-word copies: one row per text of a third-party directory, joined by its hash.
-    originals = one.where(F.col("foreign") & F.col("digest").isNotNull()).select("digest").distinct().withColumn("copy", F.lit(True))
+    originals = read_in.where(inside & F.col("digest").isNotNull()).select("digest").distinct().withColumn("copy", F.lit(True))
     one = one.join(originals, "digest", "left")
     one = one.withColumn("reason", F.when(F.col("foreign"), "third-party directory").otherwise(F.coalesce("own", F.when(F.col("copy"), "copy"))))
     found = cut(one.select("file_id", "path", "reason"))
