@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -140,6 +141,7 @@ def _groups(text: str) -> list[tuple[int, int]]:
     return outer
 
 
+@lru_cache(maxsize=1 << 16)
 def _kind(word: str) -> tuple[str, str]:
     """(type, case) of a word after a period: case is n(umber), i(dentifier), l(ower), u(pper) or o(ther)."""
     bare = word.strip(_INVISIBLE).lstrip("\"'“„«‹(（[「『»`¿¡" + _INVISIBLE)
@@ -220,8 +222,6 @@ def _is_end(para: str, start: int, end: int, mark: str, opened: int | None, unit
     for key in (lang, "*"):
         if (w, typ) in model.pairs.get(key, ()):
             return False
-    if case == "n" and w != "#":
-        return True
     if any(w in model.abbreviations.get(key, ()) for key in (lang, "*")):
         return case == "u" and typ in model.starters.get(lang, ())
     if len(w) == 1 and w.isalpha() and case == "u" and para[start - 1].isupper():
