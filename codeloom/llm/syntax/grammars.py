@@ -24,6 +24,7 @@ EXTENSIONS = {
 
 PYTHON = """
 File : Stmt* ;
+Inside : (Yield | Exprs) NEWLINE ;
 Stmt : Simple | Compound ;
 Simple : Small (';' Small)* ';'? NEWLINE ;
 Small : Exprs ( (':' Expr ('=' Value)?) | ('=' Value)+ | Aug Value )?
@@ -402,20 +403,29 @@ def dialects_of(path: str) -> tuple[str, ...]:
     return {"type_script": ("ts",), "tsx": ("tsx",)}.get(language, (language,))
 
 
+@lru_cache(maxsize=1 << 16)
+def _is_expression(text: str) -> bool:
+    """Whether a text can stand in a replacement field of an f-string."""
+    inner: list[str] = []
+    lexer = python_lexer("(" + text + ")", inner) if text.strip() else None
+    return lexer is not None and grammar("python").accepts(lexer, ("Inside",)) and all(map(_is_expression, inner))
+
+
 def is_valid(path: str, text: str) -> bool:
     """Whether a dialect of the path's language accepts the text; an empty file is valid
     (except for Go, whose grammar needs a package clause; an empty Go file counts as valid too)."""
     if not text.strip("﻿ \t\r\n\f"):
         return True
     for d in dialects_of(path):
+        exprs: list[str] = []
         if d == "python":
-            lexer = python_lexer(text)
+            lexer = python_lexer(text, exprs)
         elif d == "go":
             lexer = go_lexer(text)
         elif d == "rust":
             lexer = rust_lexer(text)
         else:
             lexer = js_lexer(text, d in ("jsx", "tsx"))
-        if lexer is not None and grammar(d).accepts(lexer, STARTS[d]):
+        if lexer is not None and grammar(d).accepts(lexer, STARTS[d]) and all(map(_is_expression, exprs)):
             return True
     return False

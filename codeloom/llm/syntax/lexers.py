@@ -24,6 +24,7 @@ def _listed(tokens: list[tuple[str, ...]]) -> Lexer:
 _PY_STRING = re.compile(
     r"""([rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.S
 )
+_PY_STRING_START = re.compile(r"""(?<!\w)([rRbBuUfFtT]{0,2})(\"\"\"|'''|"|')""")
 _PY_NUMBER = re.compile(
     r"(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
 )
@@ -35,30 +36,76 @@ _PY_WORDS = frozenset(
 _PY_SOFT = frozenset(("match", "case", "type"))
 
 
-def _braces_close(body: str) -> bool:
-    """Whether the replacement fields of an f-string are opened, filled and closed."""
-    depth, at, filled = 0, 0, True
-    while at < len(body):
-        two = body[at : at + 2]
-        if depth == 0 and two in ("{{", "}}"):
+def _fstring(text: str, at: int, quote: str, exprs: list[str]) -> int:
+    """The end of an f-string whose opening quote ends at ``at``, or -1; its expressions go to ``exprs``."""
+    while at < len(text):
+        if text.startswith(quote, at):
+            return at + len(quote)
+        two = text[at : at + 2]
+        c = two[0]
+        if c == "\n" and len(quote) == 1 or c == "}" and two != "}}":
+            return -1
+        if two in ("{{", "}}") or c == "\\":
             at += 2
+        elif c == "{":
+            at = _field(text, at + 1, quote, exprs)
+            if at < 0:
+                return -1
+        else:
+            at += 1
+    return -1
+
+
+def _field(text: str, at: int, quote: str, exprs: list[str]) -> int:
+    """The end of a replacement field that begins at ``at``, or -1."""
+    begin, stack = at, []
+    while at < len(text):
+        c = text[at]
+        if m := _PY_STRING_START.match(text, at):
+            q = m[2]
+            if "f" in m[1].lower() or "t" in m[1].lower():
+                at = _fstring(text, m.end(), q, exprs)
+            else:
+                m = _PY_STRING.match(text, at)
+                at = m.end() if m else -1
+            if at < 0:
+                return -1
             continue
-        c = body[at]
-        if c == "{":
-            depth += 1
-            filled = False
-        elif c == "}":
-            if depth == 0 or not filled:
-                return False
-            depth -= 1
-        elif depth and not c.isspace():
-            filled = filled or c not in "!:"
+        if not stack and (c in "}:" or c == "!" and text[at + 1 : at + 2] != "="):
+            exprs.append(re.sub(r"(?<![=!<>])=\s*$", "", text[begin:at]))
+            if c == "!":
+                m = re.compile(r"!\s*[rsa]\s*(?=[:}])").match(text, at)
+                if m is None:
+                    return -1
+                at = m.end()
+                c = text[at]
+            if c == "}":
+                return at + 1
+            at += 1
+            while at < len(text):  # the format
+                c = text[at]
+                if c == "}":
+                    return at + 1
+                if c == "{":
+                    at = _field(text, at + 1, quote, exprs)
+                    if at < 0:
+                        return -1
+                elif text.startswith(quote, at) or c == "\n" and len(quote) == 1:
+                    return -1
+                else:
+                    at += 1
+            return -1
+        if c in "([{":
+            stack.append({"(": ")", "[": "]", "{": "}"}[c])
+        elif c in ")]}" and (not stack or stack.pop() != c):
+            return -1
         at += 1
-    return depth == 0
+    return -1
 
 
-def python_tokens(text: str) -> list[tuple[str, ...]] | None:
-    """Tokens with NEWLINE, INDENT and DEDENT, or None where the text has no tokens."""
+def python_tokens(text: str, exprs: list[str]) -> list[tuple[str, ...]] | None:
+    """Tokens with NEWLINE, INDENT and DEDENT, or None where the text has no tokens; the
+    expressions inside f-strings go to ``exprs``."""
     if "\0" in text:
         return None
     text = text.removeprefix("\ufeff")
@@ -103,16 +150,18 @@ def python_tokens(text: str) -> list[tuple[str, ...]] | None:
             at = end.start() if end else n
         elif c == "\\" and (m := re.compile(r"\\(?:\r\n|\r|\n)").match(text, at)) and m.end() < n:
             at = m.end()
-        elif m := _PY_STRING.match(text, at):
+        elif m := _PY_STRING_START.match(text, at):
             prefix = m[1].lower()
             if prefix not in ("", "r", "b", "u", "f", "t", "rb", "br", "rf", "fr", "rt", "tr"):
                 return None
             if "f" in prefix or "t" in prefix:
-                quotes = 3 if m[0][len(prefix) : len(prefix) + 3] in ('"""', "'''") else 1
-                if not _braces_close(m[0][len(prefix) + quotes : -quotes]):
-                    return None
+                at = _fstring(text, m.end(), m[2], exprs)
+            else:
+                m = _PY_STRING.match(text, at)
+                at = m.end() if m else -1
+            if at < 0:
+                return None
             out.append(("STRING",))
-            at = m.end()
         elif m := _PY_NAME.match(text, at):
             w = m[0]
             out.append((w,) if w in _PY_WORDS else ("NAME", w) if w in _PY_SOFT else ("NAME",))
@@ -139,8 +188,8 @@ def python_tokens(text: str) -> list[tuple[str, ...]] | None:
     return out + [("DEDENT",)] * (len(levels) - 1)
 
 
-def python_lexer(text: str) -> Lexer | None:
-    tokens = python_tokens(text)
+def python_lexer(text: str, exprs: list[str]) -> Lexer | None:
+    tokens = python_tokens(text, exprs)
     return None if tokens is None else _listed(tokens)
 
 

@@ -1,0 +1,87 @@
+import ast
+import random
+
+import pytest
+
+from codeloom.llm.parse_check import syntax_flags, syntax_rates
+from codeloom.llm.syntax.gll import Grammar
+from codeloom.llm.syntax.grammars import is_valid
+
+GOOD = {
+    "a.py": "import os\nfrom . import x as y, z\n\n@dec(1)\nasync def f(a, /, b: int = 1, *args, c=2, **kw) -> int:\n    '''doc'''\n    x: dict[str, int] = {**a, 'k': [i for i in b if i]}\n    with open(a) as f, g: pass\n    try:\n        return await x[1:2, ...]\n    except (A, B) as e:\n        raise E from e\n    finally:\n        del x\n    match a:\n        case {'x': 1, **r} | [1, *_] if r: pass\n        case P(x=0): pass\n    f'{a!r:>10} {{}}'; lambda x, *y: (yield)\n    match = type = 1\n    return (k := 3) if not a else -1\n",
+    "a.pyi": "def f(x: int) -> str: ...\nclass A(B[int], metaclass=M): ...\n",
+    "a.go": 'package m\n\nimport (\n\tf "fmt"\n)\n\ntype T[K any] struct {\n\ta, b int `json:"a"`\n\t*Base\n}\n\nfunc (t *T[K]) Do(x int, y ...string) (n int, err error) {\n\tfor i := 0; i < 3; i++ {\n\t\tif v, ok := m[i]; ok && v != nil {\n\t\t\tcontinue\n\t\t}\n\t}\n\tfor range ch {\n\t}\n\tswitch x := v.(type) {\n\tcase int, *T[int]:\n\t\tgo func() { <-c }()\n\tdefault:\n\t\tgoto end\n\t}\nend:\n\tdefer mu.Unlock()\n\ta := map[string][]int{"x": {1, 2}, "y": {}}\n\treturn a[1:2][0], nil\n}\n',
+    "a.rs": "#![allow(dead_code)]\nuse a::{b, c as d, e::*};\n#[derive(Debug)]\npub struct S<'a, T: Clone + 'a = u8>(pub &'a T) where T: Copy;\nimpl<'a, T> S<'a, T> where T: Fn(i32) -> i32 {\n    pub const N: usize = 1 << 3;\n    fn f(&mut self, mut x: Vec<Vec<u8>>) -> Result<(), Box<dyn E>> {\n        let Some(y) = x.pop() else { return Ok(()) };\n        if let Some(k) = o && k > 1 { *self.0 += 1; } else { }\n        'l: for i in 0..=10 { if i == 3 { break 'l; } }\n        let v = vec![1, 2].iter().map(|&(a, b)| a + b).sum::<i64>();\n        match x { 0 | 1 => {} n @ 2..=9 if n > 3 => n, P { a, .. } => 1, _ => unreachable!(), }\n        let s = r#\"a \" b\"#; let c = '\\''; let t = x as u8 as char;\n        let p = Point { x: 1, ..Default::default() };\n        x?.y.0.z::<u8>()(1)[2]\n    }\n}\n",
+    "a.js": "#!/usr/bin/env node\n'use strict'\nimport D, { a as b } from './x.js'\nexport default class extends B { static #p = 1; get x() { return this.#p } async *[k](a, {b = 1, ...c} = {}) {} }\nconst r = /[/\\]]+/g.test(s) ? a / b / c : `x${`y${1}`}z`\nlabel: for (const [k, v] of Object.entries(o)) { if (k in v) continue label }\nfor (var i = 0, n = 1; ; i++) break\ndo x++; while (x < 3) y = async x => await x\nswitch (a) { case 1: default: }\no = { a, b: 1, 'c': 2, [d]: 3, get e() { return 1 }, async f() {}, ...g }\nif (a) ; else b?.c?.[0]?.(1)\nlet let_ = new Foo\n",
+    "a.ts": "import type { X } from './x'\nenum E { A = 1, B }\nabstract class C<T extends object = {}> extends B<T> implements I, J { private readonly x?: number = 1; constructor(public a: string) { super() } abstract f(): void; [k: string]: any; get y(): number { return 1 } }\ntype M = { readonly [K in keyof T]?: T[K] extends infer U ? U : never } & (A | B)[]\nfunction f(this: X, a?: number, ...r: string[]): a is string\nfunction f(a) { return <any>a as unknown as Map<string, Array<number>> }\nconst g = async <T,>(x: T): Promise<T> => x!\nnamespace N.M { export const x = 1 }\ndeclare module 'm' { export = x }\ninterface I extends J<K> { (a: number): string; new (): I; m?(): void; p: typeof x.y; }\nlet t: [a: string, b?: number, ...c: X[]] = y satisfies Z\nexport type { A } from './a'\n",
+    "a.tsx": "const x = <A.B c='d' {...e} f={1}>it's {\"x\"} <></> <b/> {/* c */}</A.B>\nconst y = <T,>(x: T): T => x\nconst z = a < b && c > d\n",
+    "a.jsx": "export const A = () => <div className=\"x\" data-y='z'>hi {name}!</div>\n",
+    "e.py": "", "e.go": "  \n", "e.rs": "\ufeff", "e.ts": "// only a comment\n", "c.py": "# only a comment",
+}
+BAD = {
+    "b1.py": "def f(:\n    pass\n", "b2.py": "print 'x'\n", "b3.py": "if x:\npass\n", "b4.py": "x = (1\n", "b5.py": "def f():\n\tx = 1\n        y = 2\n", "b6.py": "f'{x'\n", "b7.py": "x = 'a\n", "b8.py": "<<<<<<< HEAD\nx = 1\n", "b9.py": "x\0 = 1", "c1.py": "class A\n    pass\n", "c2.py": "for x in y\n    pass\n",
+    "b1.go": "package m\nfunc f() {\n", "b2.go": "func f() {}\n", "b3.go": "package m\nfunc f() { x := }\n", "b4.go": "package m\nvar x = \"a\nb\"\n", "b5.go": "package m\nfunc f() {\n\ta b\n}\n",
+    "b1.rs": "fn f() { let x = ; }", "b2.rs": "fn f() {", "b3.rs": "interface X { a: number }", "b4.rs": "fn f() { 1 }}", "b5.rs": "/* open",
+    "b1.js": "function f( {", "b2.js": "const x: number = 1", "b3.js": "let a = <b/>", "b4.js": "interface X { a: number }", "b5.js": "<!DOCTYPE html>\n<html></html>", "b6.js": "x = 'a\n'", "b7.js": "if (a) {", "b8.js": "a b", "b9.js": "{\"a\": 1, \"b\": 2}",
+    "b1.ts": "let a = <b>x</b>", "b2.ts": "type X = ;", "b3.ts": "class { x: }", "b1.tsx": "const a = <b>x</c", "b2.tsx": "const a = <b>{</b>",
+}
+
+
+@pytest.mark.parametrize("path", GOOD)
+def test_valid(path):
+    assert is_valid(path, GOOD[path])
+
+
+@pytest.mark.parametrize("path", BAD)
+def test_invalid(path):
+    assert not is_valid(path, BAD[path])
+
+
+def test_python_agrees_with_its_own_parser():
+    rnd = random.Random(11)
+    text = GOOD["a.py"]
+    for _ in range(300):
+        i = rnd.randrange(len(text))
+        mutated = text[:i] + rnd.choice(["", "(", ")", ":", " ", "\n", "x", "=", "'", "]", "    "]) + text[i + rnd.choice([0, 1, 1]) :]
+        try:
+            ast.parse(mutated)
+            want = True
+        except SyntaxError:
+            want = False
+        # The grammar accepts what the parser only rejects by the meaning of a target.
+        assert is_valid("m.py", mutated) or not want, mutated
+
+
+def lexer(text):
+    return lambda at: ((text[at],), (at + 1,)) if at < len(text) else (("END",), (at,))
+
+
+@pytest.mark.parametrize("text,ok", [("", False), ("b", True), ("ba", True), ("baaa", True), ("ab", False)])
+def test_left_recursion(text, ok):
+    assert Grammar("S : S 'a' | 'b' ;").accepts(lexer(text), ["S"]) is ok
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 30])
+def test_ambiguity_and_empty_rules(n):
+    g = Grammar("S : S S | 'a' | E ; E : ;")
+    assert g.accepts(lexer("a" * n), ["S"]) and not g.accepts(lexer("a" * n + "b"), ["S"])
+
+
+def test_several_starts_and_barred_first_symbols():
+    g = Grammar("A : 'a' ; B : 'b' X ; X : Y-['c'] ; Y : 'c' | 'd' ;")
+    assert g.accepts(lexer("a"), ["A", "B"]) and g.accepts(lexer("bd"), ["A", "B"]) and not g.accepts(lexer("bc"), ["A", "B"])
+
+
+def test_deep_nesting_needs_no_recursion():
+    assert is_valid("a.js", "x = " + "(" * 3000 + "1" + ")" * 3000)
+    assert not is_valid("a.py", "x = " + "[" * 3000 + "]" * 2999)
+
+
+def test_operator(spark):
+    rows = [(1, "r/a.py", "x = 1", 0), (2, "r/b.py", "x = ", 0), (3, "q/c.go", None, 0), (4, "q/d.md", "# x", 0), (5, None, "x", 0), (None, "q/e.js", "", 0), (2, "r/b.py", "x = ", 0)]
+    src = spark.createDataFrame(rows, "file_id long, path string, content string, language int")
+    flags = syntax_flags(src)
+    assert sorted((r["path"], r["is_valid"]) for r in flags.collect()) == [("q/e.js", True), ("r/a.py", True), ("r/b.py", False), ("r/b.py", False)]
+    got = {(r["repo"], r["language"]): (r["n_files"], r["n_invalid"]) for r in syntax_rates(flags).collect()}
+    assert got == {("r", "python"): (3, 2), ("q", "java_script"): (1, 0)}
+    assert syntax_flags(src.limit(0)).count() == 0
