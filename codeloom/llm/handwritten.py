@@ -87,8 +87,13 @@ _HEAD = re.compile(
 )
 
 
+_LITTER = re.compile(r"(?m)^(?:diff --git .*|@@ .*|<<<<<<< .*|=======|>>>>>>> .*)$")
+_DECLARES = frozenset("def class function func fn struct enum trait impl interface type const let var import export use package from".split())
+
+
 def _one_literal(code: str, inside: int, least: int = 300) -> bool:
     """Nothing but one literal of at least ``least`` characters, but for the name it is given."""
+    code = _LITTER.sub("", code)
     while m := _HEAD.match(code):
         code = code[m.end() :]
     body = re.sub(r"(?:\"\"|[A-Za-z_]\w*)\s*:(?!:)", ":", code)  # keys
@@ -97,7 +102,8 @@ def _one_literal(code: str, inside: int, least: int = 300) -> bool:
     if first is None or len(re.sub(r"\s+", "", code)) + inside < least:
         return False
     before, after = body[: first.start()], re.sub(r"\b0[xX][0-9a-fA-F_]+\b|\b\d[\w.]*", "", body[first.start() :])
-    return len(re.findall(r"[^\W\d]\w*", before)) <= 12 and not re.search(r"[^\W\d]|=", after)
+    behind = re.findall(r"[^\W\d]\w*", after)  # damage may leave a few words behind the literal
+    return len(re.findall(r"[^\W\d]\w*", before)) <= 12 and len(behind) <= 3 and "=" not in after and not _DECLARES.intersection(behind)
 
 
 def evidence_of(path: str, text: str | None, language: str) -> str | None:
