@@ -48,6 +48,6 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hou
 
     As a stream, rows that come later than ``late`` after the newest are dropped by the watermark.
     """
-    rows = stream.withWatermark("ts", late) if stream.isStreaming else stream
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if stream.isStreaming else stream
     g = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
