@@ -107,7 +107,7 @@ def tiered_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subclasses_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.subclasses(_refs(spark, d)).select("root", "node")
+    return G.subclasses(_refs(spark, d))
 
 
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
