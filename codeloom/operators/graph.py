@@ -38,6 +38,8 @@ def expand(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH
         if frontier.isEmpty():
             break
         reached.append(frontier)
+        if len(reached) > 8:  # long chains: keep the number of pieces that a hop reads small
+            reached = [cut(reduce(DataFrame.unionByName, reached).coalesce(edges.sparkSession.sparkContext.defaultParallelism))]
     return reduce(DataFrame.unionByName, reached)
 
 
@@ -56,28 +58,14 @@ def graph_edges(nodes: DataFrame, refs: DataFrame, max_depth: int = MAX_DEPTH, r
     return inner.join(r, at).select("root", F.col("from_symbol_id").alias("from_id"), F.col("to_symbol_id").alias("to_id"), F.col("id").alias("ref_id"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(root, node): all pairs joined by a path of one or more edges, a node's path to itself left out.
+def subclasses(refs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth) of everything that inherits from each root over ``extends`` and
+    ``implements``, without a depth bound; the root itself is left out.
 
-    Doubling: with the pairs at distance 1..d and those at distance d, one join gives all pairs at
-    distance d+1..2d, so the number of rounds is the logarithm of the longest path. The loop ends
-    when no new pair is found, which cycles do not prevent.
+    The rows grow with the roots times what each reaches, so a set of roots is asked for.
     """
-    far = cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())
-    near = [far]
-    while True:
-        known = reduce(DataFrame.unionByName, near)
-        step = far.select("root", F.col("node").alias("via"))
-        new = cut(step.join(known.withColumnRenamed("root", "via"), "via").select("root", "node").distinct().join(known, ["root", "node"], "left_anti"))
-        if new.isEmpty():
-            return known.where(F.col("root") != F.col("node"))
-        far = cut(step.join(far.withColumnRenamed("root", "via"), "via").select("root", "node").distinct())
-        near.append(new)
-
-
-def subclasses(refs: DataFrame) -> DataFrame:
-    """(root, node): everything that inherits from ``root`` over ``extends`` and ``implements``."""
-    return closure(edges_of(rows_now(refs.where(F.col("kind").isin(*INHERITANCE))), reverse=True))
+    e = edges_of(refs.where(F.col("kind").isin(*INHERITANCE)), reverse=True)
+    return expand(e, roots, None).where(F.col("depth") > 0)
 
 
 def tiered_layout(nodes: DataFrame) -> DataFrame:

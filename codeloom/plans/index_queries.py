@@ -107,7 +107,7 @@ def tiered_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subclasses_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.subclasses(_refs(spark, d))
+    return G.subclasses(_refs(spark, d), _targets(spark, d).withColumnRenamed("symbol_id", "root")).select("root", "node")
 
 
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
@@ -275,8 +275,8 @@ ORACLE = {
       FROM nodes n JOIN r ON r.to_symbol_id = n.node WHERE n.depth < 2 AND r.from_symbol_id IS NOT NULL""",
     "tiered_layout": f"""WITH RECURSIVE {_TARGETS}, {_CALLEES} SELECT root, node, depth, depth * 240 AS x,
       CAST((row_number() OVER (PARTITION BY root, depth ORDER BY node) - 1) * 64 AS INTEGER) AS y FROM nodes""",
-    "subclasses_closure": """WITH RECURSIVE e AS (SELECT DISTINCT to_symbol_id AS src, from_symbol_id AS dst FROM refs WHERE kind IN ('extends', 'implements') AND from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL),
-      walk AS (SELECT src AS root, dst AS node FROM e UNION SELECT w.root, e.dst FROM walk w JOIN e ON e.src = w.node) SELECT root, node FROM walk WHERE root <> node""",
+    "subclasses_closure": f"""WITH RECURSIVE {_TARGETS}, e AS (SELECT DISTINCT to_symbol_id AS src, from_symbol_id AS dst FROM refs WHERE kind IN ('extends', 'implements') AND from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL),
+      walk AS (SELECT symbol_id AS root, symbol_id AS node FROM targets UNION SELECT w.root, e.dst FROM walk w JOIN e ON e.src = w.node) SELECT root, node FROM walk WHERE root <> node""",
     "related_tests": f"""WITH {_F}, {_SYM}, {_TARGETS}, {_TESTS} SELECT symbol_id, path, CASE reason WHEN 0 THEN 'directory_convention' WHEN 1 THEN 'naming_convention' ELSE 'direct_import' END AS reason,
       CASE WHEN reason = 2 THEN 'high' ELSE 'medium' END AS confidence FROM tests""",
     "blast_radius": f"""WITH RECURSIVE {_F}, {_SYM}, {_REF}, {_TARGETS}, {_CALLERS}, {_TESTS},
