@@ -31,6 +31,11 @@ def syntax_flags(sources: DataFrame) -> DataFrame:
 
     src = sources.select("file_id", "path", language_of(F.col("path")).alias("language"), "content")
     src = src.where(F.col("language").isNotNull() & F.col("content").isNotNull())
+    # Parsing costs far more than moving a text once, and a split may hold very many texts: rows
+    # are spread evenly, whatever the files of the table are like.
+    spark = sources.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    src = src.repartition(tasks, F.xxhash64("file_id", "path"))
     flags = src.mapInArrow(run, "file_id long, path string, language string, is_valid boolean")
     return flags.select("file_id", "path", F.split("path", "/")[0].alias("repo"), "language", "is_valid")
 
