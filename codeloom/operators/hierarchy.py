@@ -96,10 +96,16 @@ def resolve_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
 def descendants(resolved: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance) of all pairs, from ``resolve_hierarchy(.., with_path=True)``.
 
-    For chains that end in a loop the ancestors up to the loop's representative are listed.
+    A path that ends at a loop's representative goes on with the loop's nodes that it has not met,
+    so every reachable ancestor appears once, at the fewest links; no symbol is its own ancestor.
     """
+    loops = resolved.where(F.col("loop").isNotNull()).select(F.col("symbol_id").alias("last"), F.col("loop").alias("round"))
+    endless = resolved.where(F.col("depth") == ENDLESS).select("symbol_id", "path", F.element_at("path", -1).alias("last")).join(loops, "last")
+    whole = resolved.where(F.col("depth") != ENDLESS).select("symbol_id", "path").unionByName(
+        endless.select("symbol_id", F.concat("path", F.array_except("round", "path")).alias("path"))
+    )
     return (
-        resolved.select("symbol_id", F.posexplode("path").alias("distance", "ancestor_id"))
+        whole.select("symbol_id", F.posexplode("path").alias("distance", "ancestor_id"))
         .where(F.col("distance") > 0)
         .select("ancestor_id", F.col("symbol_id").alias("descendant_id"), F.col("distance").cast("long").alias("distance"))
     )

@@ -35,6 +35,11 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(resolve_hierarchy(_links(spark, d), with_path=True).where(F.col("depth") >= 0))
 
 
+def p4_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p4_descendants``, with the symbols on loops and below them."""
+    return descendants(resolve_hierarchy(_links(spark, d), with_path=True))
+
+
 def p4_loops(spark: SparkSession, d: str) -> DataFrame:
     """(loop_id, symbol_id): the members of every loop; the loop is named by its smallest member."""
     r = resolve_hierarchy(_links(spark, d), with_path=True).where(F.col("loop").isNotNull())
@@ -47,6 +52,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_paths": p4_paths,
     "p4_descendants": p4_descendants,
+    "p4_descendants_all": p4_descendants_all,
     "p4_loops": p4_loops,
 }
 
@@ -92,4 +98,12 @@ ORACLE = {
         UNION ALL
         SELECT u.descendant_id, l.parent, u.distance + 1 FROM up u JOIN links l ON l.child = u.ancestor_id)
       SELECT ancestor_id, descendant_id, distance FROM up""",
+    "p4_descendants_all": f"""
+      WITH RECURSIVE {_LINKS},
+      up AS (
+        SELECT child AS descendant_id, parent AS ancestor_id, CAST(1 AS BIGINT) AS distance, [child, parent] AS seen FROM links WHERE child <> parent
+        UNION ALL
+        SELECT u.descendant_id, l.parent, u.distance + 1, list_append(u.seen, l.parent)
+        FROM up u JOIN links l ON l.child = u.ancestor_id WHERE NOT list_contains(u.seen, l.parent))
+      SELECT ancestor_id, descendant_id, distance FROM up""",
 }

@@ -59,6 +59,18 @@ def test_descendants(spark):
     assert got == {(2, 1, 1), (3, 1, 2), (3, 2, 1), (2, 4, 1), (3, 4, 2)}
 
 
+def test_descendants_on_and_below_loops(spark):
+    pairs = [(1, 2), (2, 3), (3, 2), (9, 9), (8, 9), (5, 4)] + [(20 + i, 20 + (i + 1) % 7) for i in range(7)] + [(30, 23), (31, 30), (32, 25)]
+    parent, want = dict(pairs), set()
+    for c in parent:
+        seen, x = [c], c
+        while (x := parent.get(x)) is not None and x not in seen:
+            want.add((x, c, len(seen)))
+            seen.append(x)
+    got = [(r["ancestor_id"], r["descendant_id"], r["distance"]) for r in descendants(solve(spark, pairs)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (2, 1, 1) in want
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_extends_links(spark, extra):
     refs = spark.createDataFrame([(1, 2, "extends", 0), (1, 2, "extends", 0), (3, None, "extends", 0), (5, 6, "implements", 0)], "from_symbol_id long, to_symbol_id long, kind string, child long")
