@@ -102,6 +102,22 @@ def bfs_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.graph_edges(nodes.where("depth <= 2"), rows_now(_refs(spark, d)), 2)
 
 
+def _all_edges(spark: SparkSession, d: str, reverse: bool) -> DataFrame:
+    # Nodes at the greatest depth have no edges in the graph, so the last hop is not needed.
+    roots = _targets(spark, d).withColumnRenamed("symbol_id", "root")
+    nodes = G.expand(G.edges_of(_refs(spark, d), reverse), roots, G.MAX_DEPTH - 1)
+    return G.graph_edges(nodes, rows_now(_refs(spark, d)), G.MAX_DEPTH, reverse)
+
+
+def bfs_edges_callers(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the whole expansion, where ``bfs_edges`` has those of its first two levels."""
+    return _all_edges(spark, d, True)
+
+
+def bfs_edges_callees(spark: SparkSession, d: str) -> DataFrame:
+    return _all_edges(spark, d, False)
+
+
 def tiered_layout(spark: SparkSession, d: str) -> DataFrame:
     return G.tiered_layout(_nodes(spark, d, False)[0])
 
@@ -205,7 +221,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = (
     "files_latest file_list path_functions search_ranked symbols_in_files direct_callers report_confidence resolve_refs resolve_refs_imports innermost_symbols "
-    "callers_bfs callees_bfs bfs_truncated bfs_edges tiered_layout subclasses_closure related_tests blast_radius reading_list config_touches file_history "
+    "callers_bfs callees_bfs bfs_truncated bfs_edges bfs_edges_callers bfs_edges_callees tiered_layout subclasses_closure related_tests blast_radius reading_list config_touches file_history "
     "introduced_capped authors_in_order major_refactors tracked_history temporal_coupling deleted_files changed_files upserted_files matched_symbols set_null_refs "
     "symbol_outline import_bindings stream_files event_windows"
 )
@@ -235,6 +251,8 @@ def _bfs(src: str, dst: str) -> str:
 
 
 _CALLERS, _CALLEES = _bfs("to_symbol_id", "from_symbol_id"), _bfs("from_symbol_id", "to_symbol_id")
+_ALL_EDGES = """SELECT n.root, r.from_symbol_id AS from_id, r.to_symbol_id AS to_id, r.id AS ref_id FROM nodes n JOIN r ON r.%s = n.node
+      WHERE n.depth < 6 AND r.from_symbol_id IS NOT NULL AND r.to_symbol_id IS NOT NULL"""
 _TESTS = f"""
   mine AS (SELECT s.id AS symbol_id, f.path AS own FROM s JOIN targets t ON t.symbol_id = s.id JOIN f ON f.id = s.file_id),
   named AS (SELECT symbol_id, path, 1 AS reason FROM (SELECT m.*, f.path, regexp_extract(regexp_extract(own, '([^/]*)$', 1), '^(.+?)(\\.[^.]*)?$', 1) AS stem,
@@ -273,6 +291,8 @@ ORACLE = {
     "bfs_truncated": f"WITH RECURSIVE {_TARGETS}, {_CALLERS} SELECT root, bool_or(depth = 6 AND node IN (SELECT src FROM e)) AS truncated FROM nodes GROUP BY root",
     "bfs_edges": f"""WITH RECURSIVE {_TARGETS}, {_CALLERS}, {_REF} SELECT n.root, r.from_symbol_id AS from_id, r.to_symbol_id AS to_id, r.id AS ref_id
       FROM nodes n JOIN r ON r.to_symbol_id = n.node WHERE n.depth < 2 AND r.from_symbol_id IS NOT NULL""",
+    "bfs_edges_callers": f"WITH RECURSIVE {_TARGETS}, {_CALLERS}, {_REF} {_ALL_EDGES % 'to_symbol_id'}",
+    "bfs_edges_callees": f"WITH RECURSIVE {_TARGETS}, {_CALLEES}, {_REF} {_ALL_EDGES % 'from_symbol_id'}",
     "tiered_layout": f"""WITH RECURSIVE {_TARGETS}, {_CALLEES} SELECT root, node, depth, depth * 240 AS x,
       CAST((row_number() OVER (PARTITION BY root, depth ORDER BY node) - 1) * 64 AS INTEGER) AS y FROM nodes""",
     "subclasses_closure": f"""WITH RECURSIVE {_TARGETS}, e AS (SELECT DISTINCT to_symbol_id AS src, from_symbol_id AS dst FROM refs WHERE kind IN ('extends', 'implements') AND from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL),

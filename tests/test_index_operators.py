@@ -192,3 +192,15 @@ def test_outline_and_imports(spark):
         (1, "B", ".base", "Base"), (1, "guard", ".base", "guard"), (1, "os", "os.path", "os.path"), (2, "helper", "crate::base", "helper"), (2, "look", "crate::base", "lookup"), (2, "fmt", "std", "fmt"),
         (3, "D", "./m", "default"), (3, "y", "./m", "x"), (4, "f", "fmt", "fmt"), (4, "b", "a/b", "b"),
     }
+
+
+@pytest.mark.parametrize("name,ends", [("bfs_edges_callers", range(101, 107)), ("bfs_edges_callees", range(94, 100))])
+def test_edges_of_all_depths(spark, tmp_path, name, ends):
+    from codeloom.plans.index_queries import QUERIES
+
+    rows = [(i, 1, i + 1, i, f"n{i}", "call", "high") for i in range(90, 110)]
+    spark.createDataFrame(rows + rows[:15], REF).write.parquet(f"{tmp_path}/refs.parquet")
+    syms(spark, [(i, 1, f"n{i}", 0, 9, True) for i in range(91, 110)]).write.parquet(f"{tmp_path}/symbols.parquet")
+    want = {(100, i, i - 1, i - 1) for i in ends} if name == "bfs_edges_callers" else {(100, i + 1, i, i) for i in ends}
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("root", "from_id", "to_id", "ref_id").collect()]
+    assert len(got) == 6 and set(got) == want
