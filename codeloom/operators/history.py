@@ -102,6 +102,23 @@ def coupling_of(deltas: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def tracked_coupling(deltas: DataFrame, commits: DataFrame, targets: DataFrame) -> DataFrame:
+    """As ``coupling_of``, over walks that follow renames: of each target's walk the commits that touch
+    another file under a name, and the walk of that name as the other file's total."""
+    walk = cut(tracked_walk(deltas, commits))
+    total = walk.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    a = walk.join(targets.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
+    own = F.col("new_path").eqNullSafe(F.col("tracked_path")) | F.col("old_path").eqNullSafe(F.col("tracked_path"))
+    others = a.join(deltas_now(deltas).select("sha", "old_path", "new_path", F.col("path").alias("file")), "sha").where(~own)
+    both = others.select("target", "file", "sha").distinct().groupBy("target", "file").agg(F.count(F.lit(1)).alias("co"))
+    both = both.join(total, "target").join(total.select(F.col("target").alias("file"), F.col("n").alias("m")), "file")
+    either = F.greatest(F.col("n") + F.col("m") - F.col("co"), F.lit(0))
+    return both.select(
+        F.col("target").alias("path"), "file", F.col("co").alias("co_change_count"), either.alias("total_commits_either_file"),
+        F.when(either > 0, F.col("co") / either).otherwise(F.lit(0.0)).cast("float").alias("ratio"),
+    )
+
+
 def symbol_history(walk: DataFrame, hunks: DataFrame, spans: DataFrame) -> DataFrame:
     """(target, sha, seq, confidence): the commits of a walk that touch a span of lines.
 

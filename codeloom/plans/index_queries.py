@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
-from codeloom.model import files_now, rows_now
+from codeloom.model import commits_now, files_now, rows_now
 from codeloom.operators import evidence as E
 from codeloom.operators import extract as X
 from codeloom.operators import graph as G
@@ -165,6 +165,25 @@ def tracked_history(spark: SparkSession, d: str) -> DataFrame:
     return H.tracked_walk(_deltas(spark, d), _commits(spark, d))
 
 
+def tracked_introduced(spark: SparkSession, d: str) -> DataFrame:
+    return H.introduced(tracked_history(spark, d))
+
+
+def tracked_introduced_capped(spark: SparkSession, d: str) -> DataFrame:
+    return H.introduced(tracked_history(spark, d), 2000)
+
+
+def tracked_authors(spark: SparkSession, d: str) -> DataFrame:
+    names = commits_now(_commits(spark, d)).select("sha", "author_name")
+    walk = tracked_history(spark, d).select(F.col("target").alias("path"), "sha", "seq").join(names, "sha")
+    return H.authors_in_order(walk).select("path", F.concat_ws(",", "authors").alias("authors"))
+
+
+def tracked_coupling(spark: SparkSession, d: str) -> DataFrame:
+    targets = files_now(_files(spark, d)).where("id % 100 = 0").select("path")
+    return H.tracked_coupling(_deltas(spark, d), _commits(spark, d), targets).withColumn("ratio", F.round(F.col("ratio").cast("double"), 5))
+
+
 def temporal_coupling(spark: SparkSession, d: str) -> DataFrame:
     targets = files_now(_files(spark, d)).where("id % 100 = 0").select("path")
     return H.coupling_of(_deltas(spark, d), targets).withColumn("ratio", F.round(F.col("ratio").cast("double"), 5))
@@ -222,7 +241,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = (
     "files_latest file_list path_functions search_ranked symbols_in_files direct_callers report_confidence resolve_refs resolve_refs_imports innermost_symbols "
     "callers_bfs callees_bfs bfs_truncated bfs_edges bfs_edges_callers bfs_edges_callees tiered_layout subclasses_closure related_tests blast_radius reading_list config_touches file_history "
-    "introduced_capped authors_in_order major_refactors tracked_history temporal_coupling deleted_files changed_files upserted_files matched_symbols set_null_refs "
+    "introduced_capped authors_in_order major_refactors tracked_history tracked_introduced tracked_introduced_capped tracked_authors tracked_coupling temporal_coupling deleted_files changed_files upserted_files matched_symbols set_null_refs "
     "symbol_outline import_bindings stream_files event_windows"
 )
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
@@ -344,3 +363,18 @@ ORACLE = {
       SELECT kind, count(*) AS n, count(CASE WHEN from_symbol_id IN (SELECT id FROM x) THEN 1 END) AS n_from, count(CASE WHEN to_symbol_id IN (SELECT id FROM y) THEN 1 END) AS n_to FROM r GROUP BY kind""",
     "event_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
+
+_WALK = f"w AS ({ORACLE['tracked_history']})"
+ORACLE |= {
+    "tracked_introduced": f"WITH {_WALK} SELECT target, count(*) AS modification_count, arg_max(sha, seq) AS introduced FROM w GROUP BY target",
+    "tracked_introduced_capped": f"""WITH {_WALK}, k AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq) <= 2000)
+      SELECT target, count(*) AS modification_count, CASE WHEN count(*) < 2000 THEN arg_max(sha, seq) END AS introduced FROM k GROUP BY target""",
+    "tracked_authors": f"""WITH {_WALK}, {_C}, a AS (SELECT target AS path, author_name, min(w.seq) AS pos FROM w JOIN c ON c.sha = w.sha WHERE author_name IS NOT NULL GROUP BY ALL)
+      SELECT path, string_agg(author_name, ',' ORDER BY pos, author_name) AS authors FROM a GROUP BY path""",
+    "tracked_coupling": f"""WITH {_WALK}, {_F}, {_D}, n AS (SELECT target, count(*) AS n FROM w GROUP BY ALL),
+      b AS (SELECT w.target, d.path AS file, count(DISTINCT d.sha) AS c FROM w JOIN d ON d.sha = w.sha AND d.new_path IS DISTINCT FROM w.tracked_path AND d.old_path IS DISTINCT FROM w.tracked_path
+        WHERE w.target IN (SELECT path FROM f WHERE id % 100 = 0) GROUP BY ALL)
+      SELECT b.target AS path, b.file, b.c AS co_change_count, greatest(0, x.n + y.n - b.c) AS total_commits_either_file,
+        round(CAST(CAST(CASE WHEN x.n + y.n > b.c THEN b.c / (x.n + y.n - b.c) ELSE 0 END AS FLOAT) AS DOUBLE), 5) AS ratio
+      FROM b JOIN n x ON x.target = b.target JOIN n y ON y.target = b.file""",
+}

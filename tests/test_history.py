@@ -69,3 +69,19 @@ def test_authors_and_refactors(spark):
     assert H.authors_in_order(H.file_commits(d, c)).first()["authors"] == ["a0", "a1"]
     c = spark.createDataFrame([("x", 1, 1, None, "Big REWRITE", 1), ("y", 2, 1, None, None, 5), ("z", 3, 1, None, "fix", None), ("x", 1, 1, None, "Big REWRITE", 1)], COMMIT)
     assert {r["sha"] for r in H.major_refactors(c).collect()} == {"x", "y"}
+
+
+def test_reports_follow_renames(spark, tmp_path):
+    from codeloom.plans.index_queries import QUERIES
+
+    d, c = tables(spark, [[(ADD, None, "r/a"), (ADD, None, "r/x")], [("renamed", "r/a", "r/b")]])
+    d.write.parquet(f"{tmp_path}/deltas.parquet")
+    c.write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([(100, "r/b", "h", 0)], "id long, path string, content_hash string, indexed_at long").write.parquet(f"{tmp_path}/files.parquet")
+
+    def rows(name, where):
+        return [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).where(where).collect()]
+
+    assert rows("tracked_introduced", "target = 'r/b'") == rows("tracked_introduced_capped", "target = 'r/b'") == [("r/b", 2, "c0")]
+    assert rows("tracked_authors", "path = 'r/b'") == [("r/b", "a1,a0")]
+    assert rows("tracked_coupling", "path = 'r/b'") == [("r/b", "r/x", 1, 2, 0.5)]
