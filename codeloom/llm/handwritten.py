@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.syntax.grammars import EXTENSIONS
+from codeloom.syntax.grammars import EXTENSIONS
 from codeloom.session import cut
 
 #: Directory names that are kept for third-party code (fixed list).

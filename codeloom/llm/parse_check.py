@@ -1,8 +1,8 @@
 """Which source files are valid text of the language their path claims.
 
-Every text is parsed where it lies by the generalised LL recogniser, all dialects of its language
-together; a file that every dialect rejects is invalid. Stored parser warnings are not consulted:
-they may be stale and say more than syntax. Rates are grouped by repository and language.
+Every text is parsed by the generalised LL recogniser, all dialects of its language together; a
+file that every dialect rejects is invalid. Stored parser warnings are not consulted: they may be
+stale and say more than syntax. Rates are grouped by repository and language.
 """
 
 from __future__ import annotations
@@ -14,7 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.handwritten import language_of
-from codeloom.llm.syntax.grammars import is_valid
+from codeloom.syntax.grammars import is_valid
+
+
+def spread_texts(sources: DataFrame) -> DataFrame:
+    """The source files of ``sources`` with a non-null text: file_id, path, language, content.
+
+    Parsing costs far more than moving a text once, and a split may hold very many texts, so rows
+    are spread by one shuffle. Adaptive execution sizes its partitions by their bytes, merging
+    small and splitting large ones, so a task holds a bounded amount of text at any size.
+    """
+    src = sources.select("file_id", "path", language_of(F.col("path")).alias("language"), "content")
+    return src.where(F.col("language").isNotNull() & F.col("content").isNotNull()).hint("rebalance", "file_id", "path")
 
 
 def syntax_flags(sources: DataFrame) -> DataFrame:
@@ -29,14 +40,7 @@ def syntax_flags(sources: DataFrame) -> DataFrame:
             ok = [is_valid(p, t) for p, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok, pa.bool_())], ["file_id", "path", "language", "is_valid"])
 
-    src = sources.select("file_id", "path", language_of(F.col("path")).alias("language"), "content")
-    src = src.where(F.col("language").isNotNull() & F.col("content").isNotNull())
-    # Parsing costs far more than moving a text once, and a split may hold very many texts: rows
-    # are spread evenly, whatever the files of the table are like.
-    spark = sources.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    src = src.repartition(tasks, F.xxhash64("file_id", "path"))
-    flags = src.mapInArrow(run, "file_id long, path string, language string, is_valid boolean")
+    flags = spread_texts(sources).mapInArrow(run, "file_id long, path string, language string, is_valid boolean")
     return flags.select("file_id", "path", F.split("path", "/")[0].alias("repo"), "language", "is_valid")
 
 
