@@ -1,8 +1,9 @@
 """Functions and methods paired with what their documentation says.
 
-The nodes are the function and method symbols of the index, each with the documentation attached
-to it and the exact range of its source. A description is the documentation without comment
-marks, markup and lines that say nothing: tags and parameter names without text, directives for
+Every source text is parsed; the function nodes of its tree are visited for their exact ranges and
+the documentation attached to them (the comment above, or the first string of a Python body). A
+node is one with the symbol of the index that has its file and range. A description is the
+documentation without comment marks, markup and lines that say nothing: tags and parameter names without text, directives for
 tools, code, dates, labels, pointers to other places, placeholders, and the symbol's own name in
 a sentence without content. What is left must hold at least three words of content.
 """
@@ -12,11 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.parse_check import spread_texts
+from codeloom.syntax.grammars import dialects_of
+from codeloom.syntax.tree import FUNCTIONS, declarations, parse
+
 #: Words that carry no content in a description (fixed list).
 EMPTY_WORDS = frozenset(
     """a an the this that these it its is are be was of for to in on by with and or as at from
@@ -84,48 +88,70 @@ def describe(doc: str | None, name: str | None, least: int = 3) -> str | None:
     return "\n".join(lines) if content_words(lines, name or "") >= least else None
 
 
-def described_functions(symbols: DataFrame) -> DataFrame:
+_SPAN = ["file_id", "start_byte", "end_byte"]
+
+
+def _byte_places(text: str, places: list[int]) -> dict[int, int]:
+    """The UTF-8 offsets of code point offsets."""
+    if text.isascii():
+        return {at: at for at in places}
+    out, last, size = {}, 0, 0
+    for at in sorted(set(places)):
+        size += len(text[last:at].encode("utf-8", "surrogatepass"))
+        out[at], last = size, at
+    return out
+
+
+def function_nodes(sources: DataFrame, with_code: bool = True) -> DataFrame:
+    """(file_id, start_byte, end_byte, doc, code): the function and method nodes of all source texts.
+
+    doc is the attached documentation with its marks, null without any; code is the exact text of
+    the node, left out on request. A text that its language rejects keeps the nodes that were
+    recognised. Null and blank texts have none; repeated rows of a file count once per node.
+    """
+    schema = "file_id long, start_byte int, end_byte int, doc string" + ", code string" * with_code
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in range(4 + with_code)]
+            for file_id, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
+                for dialect in dialects_of(path):
+                    found = [d for d in declarations(parse(dialect, text)) if d.kind in FUNCTIONS]
+                    byte = _byte_places(text, [x for d in found for x in (d.begin, d.end)])
+                    for d in found:
+                        for col, value in zip(cols, (file_id, byte[d.begin], byte[d.end], d.doc, text[d.begin : d.end] if with_code else None)):
+                            col.append(value)
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*_SPAN, "doc", "code"][: len(cols)])
+
+    return spread_texts(sources).mapInArrow(run, schema)
+
+
+def described_functions(symbols: DataFrame, sources: DataFrame, with_code: bool = False) -> DataFrame:
     """One row per function or method symbol with a real description.
 
     Columns: symbol_id, file_id, kind, name, qualified_name, signature, start_byte, end_byte,
-    description. Repeated rows of a symbol count once; a null kind or documentation gives no row.
+    description, has_node and, on request, code. The documentation is that of the symbol's node;
+    where no node has its range (a null or damaged text, a stale span), or the node has none, it is
+    what the index recorded, and code is null without a node. Repeated rows of a symbol count once;
+    a null kind gives no row.
     """
     keep = ["id", "file_id", "kind", "name", "qualified_name", "signature", "start_byte", "end_byte"]
+    nodes = function_nodes(sources, with_code).withColumn("has_node", F.lit(True))
+    rows = symbols.where(F.col("kind").isin("function", "method")).select(*keep, "doc_comment").join(nodes, _SPAN, "left")
+    rest = ["has_node", "code"] if with_code else ["has_node"]
+    rows = rows.select(*keep, F.coalesce("has_node", F.lit(False)).alias("has_node"), *rest[1:], F.coalesce("doc", "doc_comment").alias("doc")).where(F.trim("doc") != "")
+    names = [*keep, *rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [describe(d, n) for d, n in zip(b.column(len(keep)).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(said, pa.string())], [*keep, "description"])
+            said = [describe(d, n) for d, n in zip(b.column(len(names)).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(said, pa.string())], [*names, "description"])
 
-    rows = symbols.where(F.col("kind").isin("function", "method") & (F.trim("doc_comment") != "")).select(*keep, "doc_comment")
-    said = rows.mapInArrow(run, rows.drop("doc_comment").schema.add("description", "string")).where(F.col("description").isNotNull())
+    said = rows.mapInArrow(run, rows.drop("doc").schema.add("description", "string")).where(F.col("description").isNotNull())
     return said.dropDuplicates(["id"]).withColumnRenamed("id", "symbol_id")
 
 
 def code_pairs(symbols: DataFrame, sources: DataFrame) -> DataFrame:
-    """``described_functions`` with ``code``, the exact bytes of the symbol's span as text.
-
-    code is null where the file has no text, or where the span is null, empty, outside the text or
-    cuts a character in two.
-    """
-
-    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            code = []
-            for text, a, b in zip(pdf["content"], pdf["start_byte"], pdf["end_byte"]):
-                piece = None
-                if isinstance(text, str) and pd.notna(a) and pd.notna(b):
-                    raw = text.encode()
-                    if 0 <= a < b <= len(raw):
-                        try:
-                            piece = raw[int(a) : int(b)].decode()
-                        except UnicodeDecodeError:
-                            piece = None
-                code.append(piece)
-            yield pdf.assign(code=code).drop(columns=["content", "start_byte", "end_byte"])
-
-    said = described_functions(symbols)
-    texts = sources.select("file_id", "content").dropDuplicates(["file_id"])
-    joined = said.join(texts, "file_id", "left").select("symbol_id", "file_id", "kind", "name", "qualified_name", "signature", "description", "content", "start_byte", "end_byte")
-    schema = joined.drop("content", "start_byte", "end_byte").schema.add("code", "string")
-    return joined.mapInPandas(cut_out, schema)
+    """``described_functions`` with ``code``, the exact text of the symbol's node, without the span."""
+    return described_functions(symbols, sources, True).drop("start_byte", "end_byte", "has_node")

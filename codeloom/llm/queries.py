@@ -36,7 +36,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return described_functions(table(spark, d, "symbols")).select("symbol_id")
+    return described_functions(table(spark, d, "symbols"), table(spark, d, "sources")).select("symbol_id")
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:

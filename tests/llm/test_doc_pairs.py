@@ -34,13 +34,19 @@ SYM = "id long, file_id long, kind string, name string, qualified_name string, s
 
 def test_operator(spark):
     doc = "Blocks until the shard drains."
+    text = "# é\ndef f():\n    \"\"\"Gives -1 when the queue was never opened.\"\"\"\n    return 1\n\n\ndef k(): pass\n"
+    raw = text.encode()
+    f, k = raw.index(b"def f"), raw.index(b"def k")
+    ends = raw.index(b"return 1") + 8, len(raw) - 1
     rows = [
-        (1, 1, "function", "f", "m.f", "def f()", 3, 12, doc, "x"), (1, 1, "function", "f", "m.f", "def f()", 3, 12, doc, "x"), (2, 1, "class", "C", "m.C", None, 0, 1, doc, "x"), (3, 9, "method", "g", "m.g", None, 0, 5, doc, "x"),
-        (4, 1, "method", "h", "m.h", None, 0, 99, doc, "x"), (5, 1, "function", "k", "m.k", None, 1, 3, doc, "x"), (6, 1, "function", "n", None, None, None, None, doc, "x"), (7, 1, "function", "t", "t", None, 0, 1, "TODO", "x"), (8, 1, None, None, None, None, 0, 1, doc, "x"), (9, 1, "function", "q", "q", None, 0, 1, None, "x"),
+        (1, 1, "function", "f", "m.f", "def f()", f, ends[0], None, "x"), (1, 1, "function", "f", "m.f", "def f()", f, ends[0], None, "x"), (2, 1, "class", "C", "m.C", None, 0, 1, doc, "x"), (3, 9, "method", "g", "m.g", None, 0, 5, doc, "x"),
+        (4, 1, "method", "h", "m.h", None, 0, 99, doc, "x"), (5, 1, "function", "k", "m.k", None, k, ends[1], doc, "x"), (6, 1, "function", "n", None, None, None, None, doc, "x"), (7, 1, "function", "t", "t", None, 0, 1, "TODO", "x"), (8, 1, None, None, None, None, 0, 1, doc, "x"), (9, 1, "function", "q", "q", None, 0, 1, None, "x"),
+        (10, None, "function", "z", "z", None, 0, 1, doc, "x"), (11, 2, "function", "y", "y", None, 0, 1, doc, "x"),
     ]
     sym = spark.createDataFrame(rows, SYM)
-    src = spark.createDataFrame([(1, "é\ndef f(): pass\n"), (2, None)], "file_id long, content string")
-    assert sorted(r["symbol_id"] for r in described_functions(sym).collect()) == [1, 3, 4, 5, 6]
-    got = {r["symbol_id"]: r["code"] for r in code_pairs(sym, src).collect()}
-    assert got == {1: "def f(): ", 3: None, 4: None, 5: None, 6: None}
-    assert described_functions(sym.limit(0)).count() == 0
+    src = spark.createDataFrame([(1, "r/a.py", text, 1), (1, "r/a.py", text, 2), (2, "r/b.py", None, 1), (3, None, text, 1), (4, "r/c.md", text, 1), (5, "r/d.go", "", 1)], "file_id long, path string, content string, doc int")
+    got = {r["symbol_id"]: (r["description"], r["has_node"]) for r in described_functions(sym, src).collect()}
+    assert got == {1: ("Gives -1 when the queue was never opened.", True), 5: (doc, True)} | {i: (doc, False) for i in (3, 4, 6, 10, 11)}
+    code = {r["symbol_id"]: r["code"] for r in code_pairs(sym, src).collect()}
+    assert code[1] == raw[f : ends[0]].decode() and code[5] == "def k(): pass" and set(code.values()) == {code[1], code[5], None}
+    assert described_functions(sym.limit(0), src).count() == 0 and described_functions(sym, src.limit(0)).count() == 6
