@@ -286,12 +286,13 @@ class Grammar:
         self.table[state][number] = act
         return act
 
-    def parse(self, tokens: Tokens, starts: Iterable[str]) -> tuple[bool, dict[int, list]]:
-        """Whether the text derives from one of ``starts``, and the stack nodes of the parse."""
+    def parse(self, tokens: Tokens, starts: Iterable[str]) -> tuple[bool, list[dict[int, list]]]:
+        """Whether the text derives from one of ``starts``, and the stack nodes of the parse: by
+        called rule, then by the position where it begins."""
         root: list = [[], [], set(), set()]  # a node: edges (state, node), ends in order, ends as a set, where its callers went on
-        nodes: dict[int, list] = {}
+        nodes: list[dict[int, list]] = [{} for _ in self.starts]
         todo: list[tuple] = [(self.start[s], root, 0, None) for s in starts]
-        table, actions, begin, rules = self.table, self.actions, self.starts, len(self.starts)
+        table, actions, begin = self.table, self.actions, self.starts
         states = len(table)
         offers, nexts, lex = tokens.offers, tokens.nexts, tokens.lex
         while todo:
@@ -312,10 +313,9 @@ class Grammar:
                     if pos.__class__ is tuple:
                         pos = pos[x]
                 elif op == _CALL:
-                    key = pos * rules + x
-                    child = nodes.get(key)
+                    child = nodes[x].get(pos)
                     if child is None:
-                        nodes[key] = node = [[(to, node)], [], None, None]
+                        nodes[x][pos] = node = [[(to, node)], [], None, None]
                         state = begin[x]
                         continue
                     if not any(s == to and n is node for s, n in child[0]):
@@ -371,8 +371,7 @@ class Grammar:
         """Whether the text behind ``tokens`` derives from one of ``starts``."""
         return self.parse(tokens, starts)[0]
 
-    def spans(self, nodes: dict[int, list], name: str) -> list[tuple[int, int]]:
+    def spans(self, nodes: list[dict[int, list]], name: str) -> list[tuple[int, int]]:
         """(first, behind) positions of the called rule ``name`` wherever it was recognised, longest
         end each, in order. They are there even if the text as a whole was rejected."""
-        rules, x = len(self.starts), self.index[name]
-        return sorted((key // rules, max(node[1])) for key, node in nodes.items() if key % rules == x and node[1])
+        return sorted((at, max(node[1])) for at, node in nodes[self.index[name]].items() if node[1])

@@ -78,7 +78,7 @@ class Tree(NamedTuple):
     valid: bool
     tokens: Tokens
     grammar: Grammar
-    nodes: dict[int, list]
+    nodes: list[dict[int, list]]
 
     def spans(self, rule: str) -> list[tuple[int, int]]:
         """(begin, end) offsets of a rule, the longest end for each begin."""
@@ -200,12 +200,38 @@ def _found(tree: Tree) -> list[tuple[int, int, str, str, str]]:
     return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
+def _blocks(tree: Tree) -> list[tuple[int, int]]:
+    """(begin of the first statement, end) of the indented blocks of a Python text."""
+    offers, begins, stops = tree.tokens.offers, tree.tokens.begins, tree.tokens.stops
+    return sorted((begins(a + 2), stops(b)) for a, b in tree.grammar.spans(tree.nodes, "Block") if OFFERS[offers[a]] == ("NEWLINE",))
+
+
+def functions(tree: Tree) -> list[tuple[int, int, str | None]]:
+    """(begin, end, documentation) of the functions and methods of a text, in order: the ranges and
+    documentation that ``declarations`` gives, without the rest."""
+    text, d, out = tree.text, tree.dialect, []
+    if d == "python":
+        blocks = _blocks(tree)
+        return [(a, b, _doc_of_block(tree, blocks, a, b)) for a, b in tree.spans("Def")]
+    if d in ("go", "rust"):
+        found = tree.spans("Func" if d == "go" else "Fn")
+    else:
+        bodies = {e for _, e in tree.spans("MethodBody")}
+        found = tree.spans("FunctionDecl") + [x for x in tree.spans("Member") if x[1] in bodies]
+        found += [x for x in tree.spans("VarStmt") if (m := _VARIABLE.match(text, *x)) and m[3]]
+    for begin, end in found:
+        if m := _MODIFIERS.search(text[max(0, begin - 60) : begin]):
+            begin -= len(m[0])
+        out.append((begin, end, comment_above(text, begin)))
+    return sorted(out, key=lambda x: (x[0], -x[1]))
+
+
 def declarations(tree: Tree, module: str = "", inside: bool = False) -> list[Declaration]:
     """What a text declares, in order. ``module`` begins the qualified names of Python and Rust;
     variables inside functions are left out unless ``inside``."""
     text, d = tree.text, tree.dialect
     separator = "::" if d == "rust" else "."
-    blocks = sorted((tree.tokens.begins(a + 2), tree.tokens.stops(b)) for a, b in tree.grammar.spans(tree.nodes, "Block") if OFFERS[tree.tokens.offers[a]] == ("NEWLINE",)) if d == "python" else []
+    blocks = _blocks(tree) if d == "python" else []
     out: list[Declaration] = []
     above: list[tuple[int, str, str]] = [(len(text) + 1, module if d in ("python", "rust") else "", "")]  # end, scope, kind
     for begin, end, kind, name, own in _found(tree):

@@ -6,7 +6,7 @@ import pytest
 
 from codeloom.syntax.gll import Grammar, Tokens, offer
 from codeloom.syntax.grammars import is_valid
-from codeloom.syntax.tree import declarations, parse, references
+from codeloom.syntax.tree import FUNCTIONS, declarations, functions, parse, references
 
 GOOD = {
     "a.py": "import os\nfrom . import x as y, z\n\n@dec(1)\nasync def f(a, /, b: int = 1, *args, c=2, **kw) -> int:\n    '''doc'''\n    x: dict[str, int] = {**a, 'k': [i for i in b if i]}\n    with open(a) as f, g: pass\n    try:\n        return await x[1:2, ...]\n    except (A, B) as e:\n        raise E from e\n    finally:\n        del x\n    match a:\n        case {'x': 1, **r} | [1, *_] if r: pass\n        case P(x=0): pass\n    f'{a!r:>10} {{}}'; lambda x, *y: (yield)\n    match = type = 1\n    return (k := 3) if not a else -1\n",
@@ -489,6 +489,7 @@ def test_declarations_and_references(dialect):
     tree = parse(dialect, text)
     assert tree.valid
     assert [(d.kind, d.qualified_name, d.signature, d.is_exported, d.doc) for d in declarations(tree, "m")] == declared
+    assert functions(tree) == [(d.begin, d.end, d.doc) for d in declarations(tree, inside=True) if d.kind in FUNCTIONS]
     assert [(r.kind, r.name) for r in references(tree) if r.kind != "type_usage"] == referred
     assert all(text[r.begin : r.end] == r.name for r in references(tree))
 
