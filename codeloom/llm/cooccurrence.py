@@ -1,31 +1,38 @@
 """Pairs of items that meet in the same basket, by a blocked Gram matrix.
 
 A basket is a row of a binary matrix X over the items of its space (here: the commits of a
-repository over its files); X^T X holds how often each pair meets. The items of a space are cut
-into blocks of bounded size: first by support band (the power of two their basket count lies
-in), then by hash. Every basket becomes one sparse row segment per block that it touches. Two
-segments of a basket are joined, not their items, so one shuffled row stands for a whole
-sub-block; the products of one block pair over one block of baskets are summed in numpy inside
-a task, and the partial sums are added by Spark. With a least Jaccard similarity of 1/2, blocks
-more than two bands apart cannot hold a wanted pair (max support > 2 * min support) and are
-never joined; items below the least count are left out the same way. Both prunings are exact.
+repository over its files); X^T X holds how often each pair meets. Items and baskets go by number:
+a 64-bit hash, whose seed is changed should two texts ever share a number. The items of a space are
+cut into blocks of bounded size along the power of two their basket count lies in (the band):
+neighbouring bands that are small share a block, a large band is split by hash. A space of few
+items is a single block, and its cells are moved once.
+
+For a pair of blocks the cells of both, for the baskets of one record block, meet in a task, which
+sums the products of the sparse rows into one dense tile in numpy; Spark adds the tiles of all
+record blocks. With a least Jaccard similarity of 1/2, blocks more than one band apart cannot hold
+a wanted pair (max support > 2 * min support) and never meet; items below the least count are left
+out the same way. Both prunings are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.session import cut
+
+#: A block holds at most about twice so many items.
 ITEM_BLOCK = 1024
-BASKET_BLOCK = 8192
-#: Cells of the products that one task holds at a time.
-CELLS = 2_000_000
+#: Cells (basket, item) of a pair of blocks that one task is given, about.
+RECORD_BLOCK = 1_000_000
+#: Products that are summed into the tile at a time.
+PRODUCTS = 4_000_000
 
-_SCHEMA = "space string, item_a string, item_b string, n_a long, n_b long, n_both long"
+_SCHEMA = "sid long, block_a long, block_b long, i int, j int, n long"
 
 
 def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -34,41 +41,91 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens, lens) + np.repeat(starts, lens)
 
 
-def _gram(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The summed products of one block pair over one block of baskets."""
-    pdf = pdf.reset_index(drop=True)
-    la, lb = pdf["items_a"].str.len().to_numpy(), pdf["items_b"].str.len().to_numpy()
-    flat = lambda c: np.concatenate(pdf[c].to_list())
-    codes_a, items_a = pd.factorize(flat("items_a"))
-    codes_b, items_b = pd.factorize(flat("items_b"))
-    sup_a, sup_b = flat("sups_a"), flat("sups_b")
-    first_a, first_b = np.unique(codes_a, return_index=True)[1], np.unique(codes_b, return_index=True)[1]
-    start_a, start_b = np.cumsum(la) - la, np.cumsum(lb) - lb
-    cells = np.cumsum(la * lb)
-    total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _tile(left: np.ndarray, first: np.ndarray, lens: np.ndarray, right: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """The summed products of sparse rows: cell k of the left side meets ``lens[k]`` cells of the
+    right side from ``first[k]`` on."""
+    total = np.zeros(shape[0] * shape[1], np.int64)
+    done = np.cumsum(lens)
     at = 0
-    while at < len(pdf):
-        to = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + CELLS, "right")))
-        each = np.repeat(lb[at:to], la[at:to])  # partners of every item of the left side
-        left = np.repeat(codes_a[_ragged(start_a[at:to], la[at:to])], each)
-        right = codes_b[_ragged(np.repeat(start_b[at:to], la[at:to]), each)]
-        pair, n = np.unique(left.astype(np.int64) * len(items_b) + right, return_counts=True)
-        pair, back = np.unique(np.concatenate([total[0], pair]), return_inverse=True)
-        total = pair, np.bincount(back, np.concatenate([total[1], n]), len(pair)).astype(np.int64)
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PRODUCTS, "right")))
+        code = np.repeat(left[at:to].astype(np.int64) * shape[1], lens[at:to]) + right[_ragged(first[at:to], lens[at:to])]
+        if len(code):
+            total += np.bincount(code, minlength=len(total))
         at = to
-    a, b = total[0] // len(items_b), total[0] % len(items_b)
-    out = pd.DataFrame(
-        {"space": keys[0], "item_a": items_a[a], "item_b": items_b[b], "n_a": sup_a[first_a][a], "n_b": sup_b[first_b][b], "n_both": total[1]}
-    )
-    if keys[1] == keys[2]:  # a block with itself holds every pair twice, and each item with itself
-        return out[out["item_a"] < out["item_b"]]
-    swap = (out["item_a"] > out["item_b"]).to_numpy()
-    for x, y in (("item_a", "item_b"), ("n_a", "n_b")):
-        out[x], out[y] = np.where(swap, out[y], out[x]), np.where(swap, out[x], out[y])
-    return out
-
-
-def co_occurrence(baskets: DataFrame, least_count: int = 1, half_jaccard: bool = False, item_block: int = ITEM_BLOCK, basket_block: int = BASKET_BLOCK) -> DataFrame:
+    return total.reshape(shape)
+
+
+def _gram(keys: tuple, pdf: pd.DataFrame, least_count: int, half_jaccard: bool) -> pd.DataFrame:
+    """The summed products of one pair of blocks over one record block."""
+    sid, block_a, block_b, _ = keys
+    basket, loc, side = pdf["b"].to_numpy(), pdf["loc"].to_numpy(), pdf["side"].to_numpy()
+    order = np.lexsort((loc, basket))
+    basket, loc, side = basket[order], loc[order], side[order]
+    if block_a == block_b:
+        n = int(loc.max()) + 1
+        end = np.searchsorted(basket, basket, "right")
+        own = np.arange(len(loc))
+        tile = _tile(loc, own + 1, end - own - 1, loc, (n, n))  # the upper triangle
+        if int(pdf["parts"].iloc[0]) == 1:  # all baskets are here, so the counts are final
+            keep = tile >= max(1, least_count)
+            if half_jaccard:
+                support = np.bincount(loc, minlength=n)
+                keep &= 3 * tile >= support[:, None] + support[None, :]
+            i, j = np.nonzero(keep)
+        else:
+            i, j = np.nonzero(tile)
+    else:
+        is_a = side == 0
+        basket_b, right = basket[~is_a], loc[~is_a]
+        first, last = (np.searchsorted(basket_b, basket[is_a], s) for s in ("left", "right"))
+        if not len(right) or not is_a.any():
+            return pd.DataFrame({c: [] for c in ("sid", "block_a", "block_b", "i", "j", "n")})
+        tile = _tile(loc[is_a], first, last - first, right, (int(loc[is_a].max()) + 1, int(right.max()) + 1))
+        i, j = np.nonzero(tile)
+    return pd.DataFrame({"sid": sid, "block_a": block_a, "block_b": block_b, "i": i.astype(np.int32), "j": j.astype(np.int32), "n": tile[i, j]})
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells (b, i), items (i, sid, space, item, sup), spaces (sid, n_baskets)) with numbers for texts.
+
+    Two texts with one number show as two names of an item, or as two second hashes of a basket or
+    a space; then all is numbered anew with another seed.
+    """
+    for seed in count():
+        number = lambda *c, n=2 * seed: F.xxhash64(F.lit(n), *c)
+        keyed = rows.select("space", "item", number("space", "basket").alias("b"), number("space", "item").alias("i"))
+        cells = cut(keyed.select("b", "i").distinct())
+        items = cut(keyed.select("i", "space", "item").distinct().join(cells.groupBy("i").agg(F.count(F.lit(1)).alias("sup")), "i").withColumn("sid", number("space")))
+        numbers = rows.select(number("space").alias("sid"), number("space", n=2 * seed + 1).alias("s2"), number("space", "basket").alias("b"), number("space", "basket", n=2 * seed + 1).alias("b2"))
+        baskets = numbers.groupBy("b").agg(*[f(c).alias(f"{c}_{x}") for c in ("b2", "sid", "s2") for f, x in ((F.min, "lo"), (F.max, "hi"))])
+        spaces = cut(
+            baskets.groupBy(F.col("sid_lo").alias("sid")).agg(
+                F.count(F.lit(1)).alias("n_baskets"), F.max(F.col("b2_lo") != F.col("b2_hi")).alias("clash"), F.min("s2_lo").alias("lo"), F.max("s2_hi").alias("hi"),
+            )
+        )
+        twice = items.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(1))
+        if spaces.where(F.col("clash") | (F.col("lo") != F.col("hi"))).select(F.lit(1)).unionByName(twice).isEmpty():
+            return cells, items, spaces.select("sid", "n_baskets")
+    raise AssertionError
+
+
+def _blocks(items: DataFrame, half_jaccard: bool, item_block: int) -> DataFrame:
+    """Adds block, low, high (bands of the block) and loc (place in the block) to items."""
+    items = items.withColumn("band", F.floor(F.log2("sup")).cast("int") if half_jaccard else F.lit(0))
+    bands = items.groupBy("sid", "band").agg(F.count(F.lit(1)).alias("size"))
+    below = Window.partitionBy("sid").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # a space has few bands
+    large = F.col("size") > item_block
+    bands = bands.withColumn("group", F.when(large, -1 - F.col("band")).otherwise(F.floor(F.coalesce(F.sum(F.when(~large, F.col("size"))).over(below), F.lit(0)) / item_block)))
+    group = Window.partitionBy("sid", "group")
+    bands = bands.select("sid", "band", F.min("band").over(group).alias("low"), F.max("band").over(group).alias("high"), F.ceil(F.col("size") / item_block).alias("subs"), large.alias("large"))
+    placed = items.join(bands, ["sid", "band"])
+    sub = F.when(F.col("large"), F.pmod("i", F.col("subs"))).otherwise(F.lit(0))
+    placed = placed.withColumn("block", F.col("low").cast("long") * F.lit(1 << 40) + sub)
+    return placed.withColumn("loc", F.row_number().over(Window.partitionBy("sid", "block").orderBy("i")) - 1)
+
+
+def co_occurrence(baskets: DataFrame, least_count: int = 1, half_jaccard: bool = False, item_block: int = ITEM_BLOCK, record_block: int = RECORD_BLOCK) -> DataFrame:
     """One row per pair of items of one space that meet in at least ``least_count`` baskets.
 
     ``baskets``: space, basket, item (strings); repeated rows count once, rows with a null are
@@ -77,37 +134,38 @@ def co_occurrence(baskets: DataFrame, least_count: int = 1, half_jaccard: bool =
     what independent items would give). ``half_jaccard`` keeps only pairs with ratio >= 1/2 and
     prunes by it. An empty table gives no rows.
     """
-    rows = baskets.select("space", "basket", "item").dropna().distinct()
-    sizes = rows.groupBy("space", "basket").agg(F.lit(1).alias("one")).groupBy("space").agg(F.count(F.lit(1)).alias("n_baskets"))
-    support = rows.groupBy("space", "item").agg(F.count(F.lit(1)).alias("sup")).where(F.col("sup") >= least_count)
-    support = support.withColumn("band", F.floor(F.log2("sup")).cast("int") if half_jaccard else F.lit(0))
-    bands = support.groupBy("space", "band").agg(F.ceil(F.count(F.lit(1)) / item_block).alias("blocks"))
-    support = support.join(bands, ["space", "band"]).withColumn("sub", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    segments = (
-        rows.join(support, ["space", "item"])
-        .groupBy("space", "basket", "band", "sub")
-        .agg(F.sort_array(F.collect_list(F.struct("item", "sup"))).alias("s"))
-        .select("space", "basket", F.struct("band", "sub").alias("block"), F.col("s.item").alias("items"), F.col("s.sup").alias("sups"))
-    )
-    a, b = (segments.select("space", "basket", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "items", "sups")]) for x in "ab")
+    cells, items, spaces = _numbered(baskets.select("space", "basket", "item").dropna())
+    items = cut(_blocks(items.where(F.col("sup") >= least_count), half_jaccard, item_block))
+    blocks = items.groupBy("sid", "block", "low", "high").agg(F.sum("sup").alias("cells"))
+    one, two = (blocks.select("sid", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high", "cells")]) for x in "ab")
     near = F.col("block_a") <= F.col("block_b")
-    if half_jaccard:
-        near &= F.col("block_b.band") - F.col("block_a.band") <= 1
+    if half_jaccard:  # bands that overlap or are next to each other
+        near &= (F.col("low_b") - F.col("high_a") <= 1) & (F.col("low_a") - F.col("high_b") <= 1)
+    parts = F.greatest(F.lit(1), F.ceil((F.col("cells_a") + F.col("cells_b")) / (2 * record_block))).cast("int")
+    met = one.join(two, "sid").where(near).select("sid", "block_a", "block_b", parts.alias("parts"))
+    sides = F.when(F.col("block_a") == F.col("block_b"), F.array(F.struct(F.col("block_a").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("block_a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(1).alias("side")))
+    )
+    met = met.select("*", F.explode(sides).alias("s")).select("sid", "s.block", "s.side", "block_a", "block_b", "parts")
+    placed = cells.join(items.select("i", "sid", "block", "loc"), "i").join(met, ["sid", "block"])
     products = (
-        a.join(b, ["space", "basket"]).where(near)
-        .where((F.col("block_a") != F.col("block_b")) | (F.size("items_a") > 1))
-        .join(sizes, "space")
-        .withColumn("part", F.pmod(F.xxhash64("basket"), F.ceil(F.col("n_baskets") / basket_block)).cast("int"))
-        .groupBy("space", "block_a", "block_b", "part")
-        .applyInPandas(lambda k, p: _gram((k[0], str(k[1]), str(k[2])), p), _SCHEMA)
+        placed.select("sid", "block_a", "block_b", F.pmod("b", "parts").cast("int").alias("part"), "b", "loc", "side", "parts")
+        .groupBy("sid", "block_a", "block_b", "part")
+        .applyInPandas(lambda k, p: _gram(k, p, least_count, half_jaccard), _SCHEMA)
     )
-    pairs = products.groupBy("space", "item_a", "item_b", "n_a", "n_b").agg(F.sum("n_both").alias("n_both"))
-    pairs = pairs.where(F.col("n_both") >= least_count)
+    pairs = products.groupBy("sid", "block_a", "block_b", "i", "j").agg(F.sum("n").alias("n_both")).where(F.col("n_both") >= least_count)
+    for x, place in (("a", "i"), ("b", "j")):
+        named = items.select("sid", F.col("block").alias(f"block_{x}"), F.col("loc").alias(place), *([F.col("space")] if x == "a" else []), F.col("item").alias(f"item_{x}"), F.col("sup").alias(f"n_{x}"))
+        pairs = pairs.join(named, ["sid", f"block_{x}", place])
     either = F.col("n_a") + F.col("n_b") - F.col("n_both")
     if half_jaccard:
         pairs = pairs.where(2 * F.col("n_both") >= either)
-    return pairs.join(sizes, "space").select(
-        "*", either.alias("total_either"), (F.col("n_both") / either).cast("float").alias("ratio"),
+    ordered = F.col("item_a") < F.col("item_b")
+    first, last = (F.struct("item_a", "n_a"), F.struct(F.col("item_b").alias("item_a"), F.col("n_b").alias("n_a")))
+    pairs = pairs.withColumns({"x": F.when(ordered, first).otherwise(last), "y": F.when(ordered, last).otherwise(first), "total_either": either})
+    pairs = pairs.join(spaces, "sid").select("space", F.col("x.item_a").alias("item_a"), F.col("y.item_a").alias("item_b"), F.col("x.n_a").alias("n_a"), F.col("y.n_a").alias("n_b"), "n_both", "n_baskets", "total_either")
+    return pairs.select(
+        "*", (F.col("n_both") / F.col("total_either")).cast("float").alias("ratio"),
         (F.col("n_both") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))).alias("lift"),
     )
 

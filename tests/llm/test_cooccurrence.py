@@ -42,10 +42,10 @@ def sample(seed, n=400):
     return rows
 
 
-@pytest.mark.parametrize("item_block,basket_block", [(4, 5), (1000, 10_000)])
-def test_all_pairs(spark, item_block, basket_block):
+@pytest.mark.parametrize("item_block,record_block", [(4, 20), (1000, 10_000)])
+def test_all_pairs(spark, item_block, record_block):
     rows = sample(1)
-    assert run(spark, rows, item_block=item_block, basket_block=basket_block) == brute(rows)
+    assert run(spark, rows, item_block=item_block, record_block=record_block) == brute(rows)
 
 
 @pytest.mark.parametrize("item_block", [3, 1000])
