@@ -289,12 +289,15 @@ class Grammar:
     def parse(self, tokens: Tokens, starts: Iterable[str]) -> tuple[bool, list[dict[int, list]]]:
         """Whether the text derives from one of ``starts``, and the stack nodes of the parse: by
         called rule, then by the position where it begins."""
-        root: list = [[], [], set(), set()]  # a node: edges (state, node), ends in order, ends as a set, where its callers went on
+        # A node: its first edge (state, node), further edges, its first end, further ends, and the
+        # configurations that were gone on with in it, kept while others wait.
+        root: list = [0, None, None, -1, None, None]
         nodes: list[dict[int, list]] = [{} for _ in self.starts]
         todo: list[tuple] = [(self.start[s], root, 0, None) for s in starts]
         table, actions, begin = self.table, self.actions, self.starts
         states = len(table)
         offers, nexts, lex = tokens.offers, tokens.nexts, tokens.lex
+        far = -1  # the furthest position of the configurations that came to an end
         while todo:
             state, node, pos, act = todo.pop()
             while True:
@@ -315,48 +318,45 @@ class Grammar:
                 elif op == _CALL:
                     child = nodes[x].get(pos)
                     if child is None:
-                        nodes[x][pos] = node = [[(to, node)], [], None, None]
+                        nodes[x][pos] = node = [to, node, None, -1, None, None]
                         state = begin[x]
                         continue
-                    if not any(s == to and n is node for s, n in child[0]):
-                        child[0].append((to, node))
-                        for end in child[1]:
-                            mark = end * states + to
-                            if node[3] is None:
-                                node[3] = {mark}
-                            elif mark in node[3]:
-                                continue
-                            else:
-                                node[3].add(mark)
-                            todo.append((to, node, end, None))
+                    if not (child[0] == to and child[1] is node):
+                        more = child[2]
+                        if more is None:
+                            more = child[2] = []
+                        if not any(s == to and n is node for s, n in more):
+                            more.append((to, node))
+                            if child[3] >= 0:
+                                for end in (child[3], *(child[4] or ())):
+                                    if self._fresh(node, end * states + to):
+                                        todo.append((to, node, end, None))
                     break
                 elif op == _RETURN:
                     if node is root:
                         if "END" in OFFERS[offers[pos]]:
                             return True, nodes
                         break
-                    ends = node[1]
-                    if ends:
-                        if node[2] is None:
-                            node[2] = set(ends)
-                        if pos in node[2]:
-                            break
-                        node[2].add(pos)
-                    ends.append(pos)
-                    callers = node[0]
+                    if node[3] < 0:
+                        node[3] = pos
+                    elif pos == node[3] or node[4] is not None and pos in node[4]:
+                        break
+                    elif node[4] is None:
+                        node[4] = {pos}
+                    else:
+                        node[4].add(pos)
+                    more = node[2]
+                    if more is None and not todo and pos > far:  # nothing else is or was here
+                        state, node = node[0], node[1]
+                        continue
+                    callers = ((node[0], node[1]), *(more or ()))
                     node = None
                     for s, n in callers:
-                        mark = pos * states + s
-                        if n[3] is None:
-                            n[3] = {mark}
-                        elif mark in n[3]:
-                            continue
-                        else:
-                            n[3].add(mark)
-                        if node is None:
-                            state, node = s, n
-                        else:
-                            todo.append((s, n, pos, None))
+                        if self._fresh(n, pos * states + s):
+                            if node is None:
+                                state, node = s, n
+                            else:
+                                todo.append((s, n, pos, None))
                     if node is None:
                         break
                 elif op == _FORK:
@@ -365,8 +365,21 @@ class Grammar:
                     act = x[0]
                 else:
                     break
+            if pos > far:
+                far = pos
         return False, nodes
 
+    @staticmethod
+    def _fresh(node: list, mark: int) -> bool:
+        """Whether a configuration in a node is new; it is remembered."""
+        if node[5] is None:
+            node[5] = {mark}
+            return True
+        if mark in node[5]:
+            return False
+        node[5].add(mark)
+        return True
+
     def accepts(self, tokens: Tokens, starts: Iterable[str]) -> bool:
         """Whether the text behind ``tokens`` derives from one of ``starts``."""
         return self.parse(tokens, starts)[0]
@@ -374,4 +387,4 @@ class Grammar:
     def spans(self, nodes: list[dict[int, list]], name: str) -> list[tuple[int, int]]:
         """(first, behind) positions of the called rule ``name`` wherever it was recognised, longest
         end each, in order. They are there even if the text as a whole was rejected."""
-        return sorted((at, max(node[1])) for at, node in nodes[self.index[name]].items() if node[1])
+        return sorted((at, max(node[3], *(node[4] or (-1,)))) for at, node in nodes[self.index[name]].items() if node[3] >= 0)
