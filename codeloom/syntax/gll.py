@@ -83,6 +83,17 @@ def _read(toks: list[str], at: int) -> tuple[tuple, int]:
         at += 1
 
 
+class _Row(dict):
+    """The actions of a state by offer, filled in as they are asked for."""
+
+    def __init__(self, grammar: Grammar, state: int):
+        self.grammar, self.state = grammar, state
+
+    def __missing__(self, number: int) -> tuple:
+        act = self[number] = self.grammar.actions(self.state, number)
+        return act
+
+
 class Grammar:
     """A compiled grammar. Terminals are quoted or in capitals; besides ``( ) | * + ?`` there are
     ``X % S`` (X once or more, with S between), ``X %% S`` (the same, S may also come last) and
@@ -113,7 +124,7 @@ class Grammar:
             self._automaton(name)
         self._sets()
         self.starts = [self.start[n] for n in called]
-        self.table: list[dict[int, tuple]] = [{} for _ in self.moves]
+        self.table = [_Row(self, s) for s in range(len(self.moves))]
 
     def _automaton(self, name: str) -> None:
         edges: list[list[tuple[str | None, int]]] = []
@@ -265,7 +276,7 @@ class Grammar:
         self.first, self.nullable, self.follow, self.reach, self.empties = first, nullable, follow, reach, empties
 
     def actions(self, state: int, number: int) -> tuple:
-        """What a state does at an offer; kept in the table."""
+        """What a state does at an offer."""
         kinds = OFFERS[number]
         out: list[tuple[int, int, int]] = []
         there = set(kinds)
@@ -282,9 +293,7 @@ class Grammar:
                 out.append((_CALL, self.index[base], t))
         if self.final[state] and self.follow[self.owner[state]] & there:
             out.append((_RETURN, 0, 0))
-        act = out[0] if len(out) == 1 else (_FORK, tuple(out), 0) if out else (_STOP, 0, 0)
-        self.table[state][number] = act
-        return act
+        return out[0] if len(out) == 1 else (_FORK, tuple(out), 0) if out else (_STOP, 0, 0)
 
     def parse(self, tokens: Tokens, starts: Iterable[str]) -> tuple[bool, list[dict[int, list]]]:
         """Whether the text derives from one of ``starts``, and the stack nodes of the parse: by
@@ -294,7 +303,7 @@ class Grammar:
         root: list = [0, None, None, -1, None, None]
         nodes: list[dict[int, list]] = [{} for _ in self.starts]
         todo: list[tuple] = [(self.start[s], root, 0, None) for s in starts]
-        table, actions, begin = self.table, self.actions, self.starts
+        table, begin = self.table, self.starts
         states = len(table)
         offers, nexts, lex = tokens.offers, tokens.nexts, tokens.lex
         far = -1  # the furthest position of the configurations that came to an end
@@ -305,11 +314,10 @@ class Grammar:
                     number = offers[pos]
                     if number < 0:
                         number = lex(pos)
-                    act = table[state].get(number)
-                    if act is None:
-                        act = actions(state, number)
-                op, x, to = act
-                act = None
+                    op, x, to = table[state][number]
+                else:
+                    op, x, to = act
+                    act = None
                 if op == _SHIFT:
                     state = to
                     pos = nexts[pos]
