@@ -9,6 +9,7 @@ over the table of merges. Only words with a failing pair are merged exactly, ran
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,22 +53,29 @@ class Encoder:
         self.cache: dict[str, list[int]] = {}
 
     def _merge(self, word: bytes, below: int = 1 << 60) -> list[bytes]:
-        """Exact merging of ``word`` by all merges of a rank under ``below``."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min((self.rank.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
-            if best >= below:
-                break
-            joined, i, out = parts[at] + parts[at + 1], 0, []
-            while i < len(parts):  # every place of this merge, from the left
-                if i + 1 < len(parts) and self.rank.get(parts[i] + parts[i + 1], below) == best:
-                    out.append(joined)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        """Exact merging of ``word`` by all merges of a rank under ``below``: the lowest rank first, of
+        equal ranks the leftmost. Parts are a linked list and pairs wait in a heap, so a word of n
+        bytes takes n log n steps."""
+        n, rank = len(word), self.rank
+        right, left, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # of the part that begins at a place
+        pairs = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2], below)) < below]
+        heapq.heapify(pairs)
+        while pairs:
+            _, i, stop = heapq.heappop(pairs)
+            j = end[i]
+            if j <= i or j >= n or end[j] != stop:  # a part of this pair has been merged since
+                continue
+            end[i], end[j], right[i] = stop, 0, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            for a, b in ((left[i], i), (i, right[i])):
+                if a >= 0 and b < n and (r := rank.get(word[a : end[b]], below)) < below:
+                    heapq.heappush(pairs, (r, a, end[b]))
+        out, i = [], 0
+        while i < n:
+            out.append(word[i : end[i]])
+            i = end[i]
+        return out
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of the merge of each pair, or a huge number."""
