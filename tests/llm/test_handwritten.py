@@ -23,6 +23,9 @@ CODE = "export function f(a) {\n  return a + 1;\n}\n"
         ("java_script", "/** Auto-generated method stub */\n" + CODE, None),
         ("rust", "// Vendored from somelib v1 with local patches removed.\nfn f() {}", "taken"),
         ("go", "// This is an unmodified copy of somelib, taken at v3.4.\npackage x\nfunc f() {}", "taken"),
+        ("rust", "// Part of the somekit library (v1.2), bundled here for offline builds.\nfn f() {}", "taken"),
+        ("rust", "// Part of the merge step; the library is bundled by the release job.\nfn f() {}", None),
+        ("rust", f'pub const B: &str = "{LONG}";\n\npub const B: &str = "{LONG}";\n\n}}', "data"),
         ("go", "// Vendor records come from the ledger; nothing here is copied.\npackage x\nfunc f() {}", None),
         ("java_script", f'export const x = "{LONG}";\n', "data"),
         ("python", "ROWS = [\n" + '    {"id": 1, "w": 0.5},\n' * 40 + "]\n", "data"),
@@ -80,10 +83,29 @@ def test_attribute_files_by_directory(spark):
         (3, "r/a.ts", CODE), (4, "r/lib/a.ts", CODE), (5, "r/lib/b.ts", CODE), (6, "q/a.ts", CODE),
     ]
     src = spark.createDataFrame(rows, SRC)
-    assert {r["path"]: r["marked"] for r in declared(src).collect()} == {"r/a.ts": True, "r/lib/a.ts": False, "r/lib/b.ts": True}
+    said = declared(src.where("file_id > 2"), src.where("file_id <= 2")).collect()
+    assert {r["path"]: (r["generated"], r["vendored"]) for r in said} == {"r/a.ts": (True, None), "r/lib/a.ts": (False, None), "r/lib/b.ts": (False, True)}
     assert run(spark, [], rows) == {3: "declared", 5: "declared"}
 
 
+def test_attributes_count_each_by_itself(spark):
+    mark = "// @generated by t\n" + CODE
+    rows = [
+        (1, "r/.gitattributes", "*.ts linguist-generated\n*.ts -linguist-vendored"), (2, "r/a.ts", CODE),
+        (3, "q/.gitattributes", '*.ts linguist-generated -linguist-vendored\n"a b.ts" !linguist-generated\n*.js -linguist-generated\nvendor/** -linguist-vendored'),
+        (4, "q/a.ts", CODE), (5, "q/a b.ts", CODE), (6, "q/c.js", mark), (7, "q/vendor/d.go", "package d\n"), (8, "q/vendor/e.js", mark),
+        (9, "p/.gitattributes", "[attr]made linguist-generated\n*.go made\nx/*.go -made\n!*.js made\nlib/ made\n# *.js made"), (10, "p/a.go", "package a\n"), (11, "p/x/b.go", "// Code generated by t. DO NOT EDIT.\npackage b\n"), (12, "p/lib/c.js", CODE),
+        (13, "o/.gitattributes", None), (14, "o/a.ts", CODE),
+    ]
+    assert run(spark, [], rows) == {2: "declared", 4: "declared", 10: "declared"}
+
+
+def test_patterns_declared_by_several_repositories_reach_the_others(spark):
+    rows = [(i, f"r{i}/.gitattributes", "/**/*.stub.ts linguist-generated\nfetched/** linguist-vendored\n*.odd.ts linguist-generated" + ("\n*.odd.ts -linguist-generated" if i == 1 else "")) for i in range(3)]
+    rows += [(10, "z/a.stub.ts", CODE), (11, "z/fetched/b.ts", CODE + "//1"), (12, "z/c.odd.ts", CODE + "//2"), (13, "r0/d.ts", CODE + "//3"), (14, "z/stub.ts", CODE + "//4")]
+    assert run(spark, [], rows) == {10: "mined pattern", 11: "mined pattern"}
+
+
 def test_mined_patterns_reach_other_repositories(spark):
     rows = [(i, f"r{i % 5}/m{i}.gen.ts", "// @generated by t\n" + CODE + f"//{i}") for i in range(60)] + [(100, "z/x.gen.ts", CODE), (101, "z/x.ts", CODE + "//")]
     found = run(spark, [], rows)
