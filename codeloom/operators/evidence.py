@@ -5,7 +5,7 @@ Every report takes a frame of symbol ids and answers all of them in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
@@ -46,33 +46,68 @@ def caller_counts(refs: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPT
     return all_of.select("symbol_id", zero("direct_callers").alias("direct_callers"), F.greatest(F.lit(0), zero("reached") - zero("distinct_callers")).alias("indirect_callers"))
 
 
-def related_tests(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
-    """(symbol_id, path, reason, confidence): the test files of each target symbol.
-
-    By name in the same directory (medium), by a test directory under the same first directory of
-    the repository (medium), or by a resolved reference from a test-like file (high); the
-    strongest reason of a file is kept. All three are equality joins.
-    """
+def _test_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id, path) of the current files, and those among them whose names look like tests."""
     f = files_now(files).select(F.col("id").alias("file_id"), "path")
+    return f, f.where(P.looks_like_test(F.col("path")) | P.file_name(F.col("path")).rlike(r"\.test\.|\.spec\.|_test\.|^test_"))
+
+
+def _top(path: str) -> Column:
+    """The repository and the first directory in it."""
+    return F.concat(P.repo(F.col(path)), F.lit("/"), P.first_component(P.in_repo(F.col(path))))
+
+
+def _own_files(targets: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, own): the file of each target symbol."""
     mine = rows_now(symbols).join(targets.select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("symbol_id"), "file_id")
-    mine = mine.join(f, "file_id").withColumnRenamed("path", "own")
-    tests = f.where(P.looks_like_test(F.col("path")) | P.file_name(F.col("path")).rlike(r"\.test\.|\.spec\.|_test\.|^test_"))
+    return mine.join(files, "file_id").select("symbol_id", F.col("path").alias("own"))
+
+
+def _named_and_used(mine: DataFrame, files: DataFrame, tests: DataFrame, refs: DataFrame) -> DataFrame:
+    """(symbol_id, path, reason): tests by name in the same directory, and by resolved references."""
     named = (
         mine.withColumns({"dir": P.parent_dir(F.col("own")), "stem": P.file_stem(F.col("own"))})
         .join(tests.select("path", P.parent_dir(F.col("path")).alias("dir")), "dir")
         .where((F.col("path") != F.col("own")) & P.matches_test_naming(F.col("path"), F.col("stem"))).select("symbol_id", "path", F.lit(1).alias("reason"))
     )
-    top = lambda c: F.concat(P.repo(F.col(c)), F.lit("/"), P.first_component(P.in_repo(F.col(c))))
-    placed = (
-        mine.withColumn("top", top("own")).join(f.where(P.in_test_dir(P.in_repo(F.col("path")))).select("path", top("path").alias("top")), "top")
-        .where(F.col("path") != F.col("own")).select("symbol_id", "path", F.lit(0).alias("reason"))
-    )
     calls = rows_now(refs.where(F.col("to_symbol_id").isNotNull())).select(F.col("to_symbol_id").alias("symbol_id"), F.col("from_file_id").alias("file_id"))
-    used = calls.join(mine.select("symbol_id"), "symbol_id", "left_semi").distinct().join(f.where(P.looks_like_test(P.in_repo(F.col("path")))), "file_id").select("symbol_id", "path", F.lit(2).alias("reason"))
-    best = named.unionByName(placed).unionByName(used).groupBy("symbol_id", "path").agg(F.max("reason").alias("reason"))
+    like_tests = files.where(P.looks_like_test(P.in_repo(F.col("path"))))
+    used = calls.distinct().join(like_tests, "file_id").join(mine.select("symbol_id"), "symbol_id", "left_semi").select("symbol_id", "path", F.lit(2).alias("reason"))
+    return named.unionByName(used)
+
+
+def related_tests(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
+    """(symbol_id, path, reason, confidence): the test files of each target symbol.
+
+    By name in the same directory (medium), by a test directory under the same first directory of
+    the repository (medium), or by a resolved reference from a test-like file (high); the
+    strongest reason of a file is kept. All three are equality joins.
+    """
+    f, tests = _test_files(files)
+    mine = _own_files(targets, symbols, f)
+    in_dirs = f.where(P.in_test_dir(P.in_repo(F.col("path")))).select("path", _top("path").alias("top"))
+    placed = mine.withColumn("top", _top("own")).join(in_dirs, "top").where(F.col("path") != F.col("own")).select("symbol_id", "path", F.lit(0).alias("reason"))
+    best = placed.unionByName(_named_and_used(mine, f, tests, refs)).groupBy("symbol_id", "path").agg(F.max("reason").alias("reason"))
     return best.select("symbol_id", "path", text_of(TEST_REASONS, F.col("reason")).alias("reason"), F.when(F.col("reason") == 2, "high").otherwise("medium").alias("confidence"))
 
 
+def test_counts(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
+    """(symbol_id, test_suites): how many test files ``related_tests`` has for each target.
+
+    Tests in test directories are counted per first directory, once for all symbols there; only what
+    is named or used beyond them is looked at one by one, so no symbol is paired with all of them.
+    """
+    f, tests = _test_files(files)
+    mine = _own_files(targets, symbols, f).withColumn("top", _top("own"))
+    in_dirs = P.in_test_dir(P.in_repo(F.col("path")))
+    per_top = f.where(in_dirs).groupBy(_top("path").alias("top")).agg(F.count_distinct("path").alias("there"))
+    more = _named_and_used(mine.select("symbol_id", "own"), f, tests, refs).select("symbol_id", "path").distinct().join(mine, "symbol_id")
+    more = more.where(~(F.coalesce(in_dirs, F.lit(False)) & (_top("path") == F.col("top")) & (F.col("path") != F.col("own")))).groupBy("symbol_id").agg(F.count(F.lit(1)).alias("more"))
+    own = F.coalesce(P.in_test_dir(P.in_repo(F.col("own"))), F.lit(False)).cast("long")
+    n = F.coalesce("there", F.lit(0)) - F.when(F.col("there").isNotNull(), own).otherwise(0) + F.coalesce("more", F.lit(0))
+    return mine.join(per_top, "top", "left").join(more, "symbol_id", "left").select("symbol_id", n.alias("test_suites"))
+
+
 def score_risk(counts: DataFrame) -> DataFrame:
     """Adds ``risk`` and ``reasons`` to symbol_id, direct_callers, indirect_callers, is_public, test_suites.
 
@@ -89,7 +124,7 @@ def score_risk(counts: DataFrame) -> DataFrame:
 
 def blast_radius(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(symbol_id, direct_callers, indirect_callers, is_public, test_suites, risk, reasons) of the targets."""
-    suites = related_tests(targets, symbols, files, refs).groupBy("symbol_id").agg(F.count(F.lit(1)).alias("test_suites"))
+    suites = test_counts(targets, symbols, files, refs)
     public = rows_now(symbols).select(F.col("id").alias("symbol_id"), F.col("is_exported").alias("is_public"))
     rows = caller_counts(refs, targets, max_depth).join(public, "symbol_id").join(suites, "symbol_id", "left")
     return score_risk(rows.withColumn("test_suites", F.coalesce("test_suites", F.lit(0)).cast("long")))

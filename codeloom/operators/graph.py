@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,30 +20,72 @@ def edges_of(refs: DataFrame, reverse: bool = False) -> DataFrame:
     return refs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
 
 
-def expand(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+#: Edges of one source that share a task; a source with more is spread over several buckets.
+BUCKET_EDGES = 10_000
+
+
+class Adjacency(NamedTuple):
+    """Edges (src, bucket, dst) and, per source, the number of its buckets."""
+
+    edges: DataFrame
+    buckets: DataFrame
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """(root, node): the distinct next nodes of a frontier (root, node).
+
+        A frontier row meets every bucket of its node, so the edges of a hot node are read by as many
+        tasks as they need, while all other nodes have one bucket.
+        """
+        met = frontier.select("root", F.col("node").alias("src")).join(self.buckets, "src")
+        met = met.select("root", "src", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
+        return met.join(self.edges, ["src", "bucket"]).select("root", F.col("dst").alias("node")).distinct()
+
+
+def adjacency(edges: DataFrame, bucket_edges: int = BUCKET_EDGES) -> Adjacency:
+    """``edges`` (src, dst) written by (src, bucket)."""
+    edges = cut(edges)
+    buckets = cut(edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / bucket_edges).cast("int").alias("buckets")))
+    placed = edges.join(buckets, "src").select("src", F.pmod(F.xxhash64("dst"), "buckets").cast("int").alias("bucket"), "dst")
+    return Adjacency(cut(placed.repartition("src", "bucket")), buckets)
+
+
+def expand(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, bucket_edges: int = BUCKET_EDGES) -> DataFrame:
     """(root, node, depth) of all nodes within ``max_depth`` steps of each root (the root included).
 
     ``edges``: src, dst; ``roots``: root. Every hop joins the frontier with the edges, drops what
-    was reached before and is written to the checkpoint folder; depth is the fewest hops. Without
-    a depth the loop ends when no frontier is left, which cycles do not delay.
+    was reached before and is written to the checkpoint folder; depth is the fewest hops.
     """
-    edges = cut(edges.repartition("src"))
+    near = adjacency(edges, bucket_edges)
     frontier = cut(roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     reached = [frontier]
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+    for depth in range(1, max_depth + 1):
         known = reduce(DataFrame.unionByName, [x.select("root", "node") for x in reached])
-        frontier = cut(step.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(near.step(frontier).join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         reached.append(frontier)
-        if len(reached) > 8:  # long chains: keep the number of pieces that a hop reads small
-            reached = [cut(reduce(DataFrame.unionByName, reached).coalesce(edges.sparkSession.sparkContext.defaultParallelism))]
     return reduce(DataFrame.unionByName, reached)
 
 
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): everything that can be reached from each root, the root itself only over a cycle.
+
+    Doubling: ``jumps`` holds the pairs that walks of exactly 2^k edges join (in a tree at most one
+    per node), so after k rounds all nodes within 2^k edges are known. The loop ends when a round finds
+    nothing new, after about log2 of the longest chain.
+    """
+    jumps = cut(edges.select("src", "dst").distinct())
+    reached = cut(roots.select("root").distinct().join(jumps.withColumnRenamed("src", "root"), "root").select("root", F.col("dst").alias("node")))
+    while True:
+        found = reached.join(jumps, reached["node"] == jumps["src"]).select("root", F.col("dst").alias("node")).distinct()
+        found = cut(found.join(reached, ["root", "node"], "left_anti"))
+        if found.isEmpty():
+            return reached
+        reached = cut(reached.unionByName(found).repartition("node"))
+        far = jumps.select("src", F.col("dst").alias("by")).join(jumps.select(F.col("src").alias("by"), "dst"), "by")
+        jumps = cut(far.select("src", "dst").distinct())
+
+
 def truncated(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(root, truncated): whether a node at ``max_depth`` has any neighbour, visited or not."""
     last = nodes.where(F.col("depth") == max_depth).join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
@@ -59,13 +102,10 @@ def graph_edges(nodes: DataFrame, refs: DataFrame, max_depth: int = MAX_DEPTH, r
 
 
 def subclasses(refs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth) of everything that inherits from each root over ``extends`` and
-    ``implements``, without a depth bound; the root itself is left out.
-
-    The rows grow with the roots times what each reaches, so a set of roots is asked for.
-    """
+    """(root, node) of everything that inherits from each root over ``extends`` and ``implements``,
+    without a depth bound; the root itself is left out."""
     e = edges_of(refs.where(F.col("kind").isin(*INHERITANCE)), reverse=True)
-    return expand(e, roots, None).where(F.col("depth") > 0)
+    return closure(e, roots).where(F.col("root") != F.col("node"))
 
 
 def tiered_layout(nodes: DataFrame) -> DataFrame:

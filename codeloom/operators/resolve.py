@@ -121,12 +121,21 @@ def resolve_refs(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None
     )
 
 
+#: Bytes of a file that share a bin when references are placed in symbols.
+BIN_BYTES = 1024
+
+
 def innermost_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(ref_id, symbol_id): the smallest symbol of the same file around each reference.
 
     Of equal extents the symbol with the smaller id wins; references outside all symbols give no row.
+    A reference meets only the symbols that cover the bin in which it begins, not all of its file,
+    so a file with very many of both is spread over its bins.
     """
-    s = rows_now(symbols).select(F.col("id").alias("symbol_id"), "file_id", "start_byte", "end_byte")
-    r = rows_now(refs).select(F.col("id").alias("ref_id"), F.col("from_file_id").alias("file_id"), "from_start_byte", "from_end_byte")
-    around = r.join(s, "file_id").where((F.col("start_byte") <= F.col("from_start_byte")) & (F.col("from_end_byte") <= F.col("end_byte")))
+    bin_of = lambda c: F.floor(F.col(c) / BIN_BYTES).cast("int")
+    s = rows_now(symbols).where(F.col("start_byte") <= F.col("end_byte")).select(
+        F.col("id").alias("symbol_id"), "file_id", "start_byte", "end_byte", F.explode(F.sequence(bin_of("start_byte"), bin_of("end_byte"))).alias("bin")
+    )
+    r = rows_now(refs).select(F.col("id").alias("ref_id"), F.col("from_file_id").alias("file_id"), "from_start_byte", "from_end_byte", bin_of("from_start_byte").alias("bin"))
+    around = r.join(s, ["file_id", "bin"]).where((F.col("start_byte") <= F.col("from_start_byte")) & (F.col("from_end_byte") <= F.col("end_byte")))
     return around.groupBy("ref_id").agg(F.min_by("symbol_id", F.struct(F.col("end_byte") - F.col("start_byte"), "symbol_id")).alias("symbol_id"))

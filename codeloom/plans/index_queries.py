@@ -123,13 +123,20 @@ def tiered_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subclasses_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.subclasses(_refs(spark, d), _targets(spark, d).withColumnRenamed("symbol_id", "root")).select("root", "node")
+    bases = _refs(spark, d).where(F.col("kind").isin("extends", "implements") & F.col("to_symbol_id").isNotNull()).select(F.col("to_symbol_id").alias("root"))
+    return G.subclasses(_refs(spark, d), bases)
 
 
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
     return E.related_tests(_targets(spark, d), _symbols(spark, d), _files(spark, d), _refs(spark, d))
 
 
+def test_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The number of related tests of every symbol."""
+    every = rows_now(_symbols(spark, d)).select(F.col("id").alias("symbol_id"))
+    return E.test_counts(every, _symbols(spark, d), _files(spark, d), _refs(spark, d))
+
+
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     b = E.blast_radius(_targets(spark, d), _symbols(spark, d), _files(spark, d), _refs(spark, d))
     return b.withColumn("reasons", F.concat_ws("; ", "reasons"))
@@ -240,7 +247,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMES = (
     "files_latest file_list path_functions search_ranked symbols_in_files direct_callers report_confidence resolve_refs resolve_refs_imports innermost_symbols "
-    "callers_bfs callees_bfs bfs_truncated bfs_edges bfs_edges_callers bfs_edges_callees tiered_layout subclasses_closure related_tests blast_radius reading_list config_touches file_history "
+    "callers_bfs callees_bfs bfs_truncated bfs_edges bfs_edges_callers bfs_edges_callees tiered_layout subclasses_closure related_tests test_counts blast_radius reading_list config_touches file_history "
     "introduced_capped authors_in_order major_refactors tracked_history tracked_introduced tracked_introduced_capped tracked_authors tracked_coupling temporal_coupling deleted_files changed_files upserted_files matched_symbols set_null_refs "
     "symbol_outline import_bindings stream_files event_windows"
 )
@@ -314,10 +321,12 @@ ORACLE = {
     "bfs_edges_callees": f"WITH RECURSIVE {_TARGETS}, {_CALLEES}, {_REF} {_ALL_EDGES % 'from_symbol_id'}",
     "tiered_layout": f"""WITH RECURSIVE {_TARGETS}, {_CALLEES} SELECT root, node, depth, depth * 240 AS x,
       CAST((row_number() OVER (PARTITION BY root, depth ORDER BY node) - 1) * 64 AS INTEGER) AS y FROM nodes""",
-    "subclasses_closure": f"""WITH RECURSIVE {_TARGETS}, e AS (SELECT DISTINCT to_symbol_id AS src, from_symbol_id AS dst FROM refs WHERE kind IN ('extends', 'implements') AND from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL),
-      walk AS (SELECT symbol_id AS root, symbol_id AS node FROM targets UNION SELECT w.root, e.dst FROM walk w JOIN e ON e.src = w.node) SELECT root, node FROM walk WHERE root <> node""",
+    "subclasses_closure": f"""WITH RECURSIVE e AS (SELECT DISTINCT to_symbol_id AS src, from_symbol_id AS dst FROM refs WHERE kind IN ('extends', 'implements') AND from_symbol_id IS NOT NULL AND to_symbol_id IS NOT NULL),
+      walk AS (SELECT src AS root, dst AS node FROM e UNION SELECT w.root, e.dst FROM walk w JOIN e ON e.src = w.node) SELECT root, node FROM walk WHERE root <> node""",
     "related_tests": f"""WITH {_F}, {_SYM}, {_TARGETS}, {_TESTS} SELECT symbol_id, path, CASE reason WHEN 0 THEN 'directory_convention' WHEN 1 THEN 'naming_convention' ELSE 'direct_import' END AS reason,
       CASE WHEN reason = 2 THEN 'high' ELSE 'medium' END AS confidence FROM tests""",
+    "test_counts": f"""WITH {_F}, {_SYM}, targets AS (SELECT id AS symbol_id FROM s), {_TESTS}, n AS (SELECT symbol_id, count(*) AS n FROM tests GROUP BY ALL)
+      SELECT mine.symbol_id, coalesce(n.n, 0) AS test_suites FROM mine LEFT JOIN n ON n.symbol_id = mine.symbol_id""",
     "blast_radius": f"""WITH RECURSIVE {_F}, {_SYM}, {_REF}, {_TARGETS}, {_CALLERS}, {_TESTS},
       suites AS (SELECT symbol_id, count(*) AS n FROM tests GROUP BY ALL),
       own AS (SELECT to_symbol_id AS symbol_id, count(*) AS d, count(DISTINCT from_symbol_id) AS dd FROM r WHERE to_symbol_id IS NOT NULL GROUP BY ALL),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,7 +104,48 @@ def test_depth_is_fewest_hops(spark):
     e = G.edges_of(refs(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (None, 1), (1, None)]))
     got = {x["node"]: x["depth"] for x in G.expand(e, spark.createDataFrame([(1,)], "root long"), 1).collect()}
     assert got == {1: 0, 2: 1, 3: 1}
-    assert G.expand(e, spark.createDataFrame([(1,)], "root long"), None).count() == 4
+
+
+def test_hot_sources_are_spread(spark):
+    rnd = random.Random(3)
+    pairs = [(1, k) for k in range(2, 60)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(80)]
+    e = G.edges_of(refs(spark, pairs))
+    roots = spark.createDataFrame([(1,), (5,), (9,)], "root long")
+    assert sorted(map(tuple, G.expand(e, roots, 3, bucket_edges=4).collect())) == sorted(map(tuple, G.expand(e, roots, 3).collect()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_of_random_graphs(spark, seed):
+    rnd = random.Random(seed)
+    pairs = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(35)} | {(100 + i, 101 + i) for i in range(9)}
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for root in after:
+        todo, seen = list(after[root]), set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        want |= {(root, x) for x in seen}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    assert {tuple(r) for r in G.closure(e, e.select(e["src"].alias("root"))).collect()} == want
+
+
+def test_innermost_over_bins(spark):
+    rnd = random.Random(5)
+    syms = [(i, 1, a, a + rnd.choice([5, 900, 5000])) for i, a in enumerate(rnd.randrange(9000) for _ in range(40))] + [(90, 1, None, 3), (91, 1, 9, 2), (92, None, 0, 9)]
+    uses = [(i, 1, a, a + 4) for i, a in enumerate(rnd.randrange(9500) for _ in range(60))] + [(900, None, 1, 2), (901, 1, None, None)]
+    s = spark.createDataFrame(syms, "id long, file_id long, start_byte int, end_byte int")
+    r = spark.createDataFrame(uses, "id long, from_file_id long, from_start_byte int, from_end_byte int")
+    want = {}
+    for i, f, a, b in uses:
+        around = [(z - y, k) for k, g, y, z in syms if None not in (f, a, b, g, y, z) and f == g and y <= a and b <= z]
+        if around:
+            want[i] = min(around)[1]
+    assert {x["ref_id"]: x["symbol_id"] for x in R.innermost_symbols(r, s).collect()} == want
 
 
 def test_subclasses(spark):
