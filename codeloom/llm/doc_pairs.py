@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.parse_check import spread_texts
+from codeloom.llm.parse_check import no_cycles, spread_texts
 from codeloom.syntax.grammars import dialects_of
-from codeloom.syntax.tree import FUNCTIONS, declarations, parse
+from codeloom.syntax.tree import functions, parse
 
 #: Words that carry no content in a description (fixed list).
 EMPTY_WORDS = frozenset(
@@ -114,13 +114,14 @@ def function_nodes(sources: DataFrame, with_code: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(4 + with_code)]
-            for file_id, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
-                for dialect in dialects_of(path):
-                    found = [d for d in declarations(parse(dialect, text)) if d.kind in FUNCTIONS]
-                    byte = _byte_places(text, [x for d in found for x in (d.begin, d.end)])
-                    for d in found:
-                        for col, value in zip(cols, (file_id, byte[d.begin], byte[d.end], d.doc, text[d.begin : d.end] if with_code else None)):
-                            col.append(value)
+            with no_cycles():
+                for file_id, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
+                    for dialect in dialects_of(path):
+                        found = functions(parse(dialect, text))
+                        byte = _byte_places(text, [x for a, z, _ in found for x in (a, z)])
+                        for a, z, doc in found:
+                            for col, value in zip(cols, (file_id, byte[a], byte[z], doc, text[a:z] if with_code else None)):
+                                col.append(value)
             types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*_SPAN, "doc", "code"][: len(cols)])
 

@@ -7,7 +7,9 @@ stale and say more than syntax. Rates are grouped by repository and language.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,16 @@ def spread_texts(sources: DataFrame) -> DataFrame:
     return src.where(F.col("language").isNotNull() & F.col("content").isNotNull()).hint("rebalance", "file_id", "path")
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Parsing makes very many small objects and hardly any cycles, which is what the collector looks for."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def syntax_flags(sources: DataFrame) -> DataFrame:
     """(file_id, path, repo, language, is_valid): one row per source file with a non-null text.
 
@@ -37,7 +49,8 @@ def syntax_flags(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [is_valid(p, t) for p, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+            with no_cycles():
+                ok = [is_valid(p, t) for p, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok, pa.bool_())], ["file_id", "path", "language", "is_valid"])
 
     flags = spread_texts(sources).mapInArrow(run, "file_id long, path string, language string, is_valid boolean")
