@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from codeloom.llm.sentences import Model, blocks, language_key, learn, sentence_units, split
+from codeloom.llm.sentences import Model, blocks, language_key, learn, model_of, read, sentence_units, split
 
 EMPTY = Model({}, {}, {})
 EN = Model({"en": frozenset({"vs", "approx", "e.g", "p.m"})}, {"en": frozenset({("no", "#"), ("#", "mai"), ("z", "b")})}, {"en": frozenset({"the"})})
@@ -67,7 +67,7 @@ def test_learning_finds_abbreviations(spark):
     rows += [(900 + i, f"Am {i}. Mai lief das. Der {i}. Mai war gut. Es war so.", "de") for i in range(200)]
     rows += [(2000, None, None), (2001, "", "en"), (2002, "  ", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = learn(docs)
+    model = model_of(tuple(r) for r in learn(read(docs)).collect())
     assert {"fig", "no", "i.e"} <= model.abbreviations["en"] and "it" not in model.abbreviations["en"]
     assert ("#", "mai") in model.pairs["de"]
     got = {}
@@ -77,6 +77,9 @@ def test_learning_finds_abbreviations(spark):
     text = rows[5][1]
     assert [text[a:b] for a, b in sorted(got[5])] == ["See Fig. 5 of it.", "The no. 5 is kept.", "It works.", "Add two, i.e. more.", "The end came."]
     assert len(got[905]) == 3
+    assert {"the", "it"} <= model.starters["en"] and "mai" not in model.starters["de"]
+    joined = sorted(tuple(r) for r in sentence_units(docs.unionByName(docs.limit(3)), model_rows=0).collect())
+    assert joined == sorted(tuple(r) for r in sentence_units(docs.unionByName(docs.limit(3))).collect())
 
 
 def test_empty_table(spark):
