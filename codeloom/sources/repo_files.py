@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -63,59 +64,149 @@ def ignored(path: str, rules: list[tuple[str, re.Pattern, bool, bool]], folder:
     return False
 
 
-def list_files(root: str, config: Config) -> list[tuple[str, int, int]]:
-    """(path, size, modification time in ns) of the files to index, by path; names only, no contents.
+#: Names of the ignore files of a folder; the later one counts more.
+IGNORE_FILES = (".gitignore", ".ignore")
+Rules = list[tuple[str, str]]  # (folder below the root with a slash behind it, or as many ``../`` for one above; text)
+
+
+def _text(path: str) -> str | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def outer_rules(root: str) -> Rules:
+    """The ignore rules that come from outside of the root or beside its files, weakest first: the
+    user's global file, ``.git/info/exclude``, and the ignore files of the folders above, up to the one
+    that holds ``.git``."""
+    base = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    rules: Rules = [("", text) for p in (os.path.join(base, "git", "ignore"), os.path.join(root, ".git", "info", "exclude")) if (text := _text(p)) is not None]
+    above: Rules = []
+    at, inner = root, ""
+    while not os.path.exists(os.path.join(at, ".git")) and (up := os.path.dirname(at)) != at:
+        inner = os.path.basename(at) + "/" + inner
+        at = up
+        above = [("^" + inner, text) for name in IGNORE_FILES if (text := _text(os.path.join(at, name))) is not None] + above
+    return rules + above
+
+
+def compiled(rules: Rules) -> list[tuple[str, re.Pattern, bool, bool]]:
+    """The rules of ``ignored``; those of a folder above the root match the whole way down from it."""
+    out = []
+    for base, text in rules:
+        for line in text.splitlines():
+            if (rule := ignore_regex(line)) is not None:
+                rx, negated, folders = rule
+                if base.startswith("^"):  # the way from that folder to the root stands before every path
+                    out.append(("", _Below(base[1:], rx), negated, folders))
+                else:
+                    out.append((base, rx, negated, folders))
+    return out
+
+
+class _Below:
+    """A pattern of a folder above the root, over paths below the root."""
+
+    def __init__(self, way: str, rx: re.Pattern):
+        self.way, self.rx = way, rx
+
+    def match(self, path: str) -> bool:
+        whole = self.way + path
+        # A folder between the two may be ignored as a whole, and then all in the root is.
+        parts = self.way.rstrip("/").split("/")
+        return bool(self.rx.match(whole)) or any(self.rx.match("/".join(parts[: k + 1])) for k in range(len(parts)))
+
+
+def visit(root: str, folder: str, rules: Rules, config: Config) -> tuple[list[tuple[str, int, int]], list[tuple[str, Rules]]]:
+    """One folder: (path, size, modification time in ns) of its files, and its folders with their rules."""
+    at = os.path.join(root, folder)
+    entries = sorted(os.scandir(at), key=lambda e: e.name)
+    rules = rules + [(folder, text) for name in IGNORE_FILES if any(e.name == name for e in entries) and (text := _text(os.path.join(at, name))) is not None]
+    tests = compiled(rules)
+    files, folders = [], []
+    for e in entries:
+        path = folder + e.name
+        if e.name in config.ignored_dirs:
+            continue
+        if e.is_dir(follow_symlinks=False):
+            if not ignored(path, tests, True):
+                folders.append((path + "/", rules))
+        elif e.is_file() and not (e.name.rpartition(".")[1] and e.name.rpartition(".")[2] in config.ignored_extensions) and not ignored(path, tests):
+            info = e.stat()
+            files.append((path, info.st_size, info.st_mtime_ns))
+    return files, folders
+
+
+_LISTED = "path string, size_bytes long, mtime long"
+
+
+def list_files(spark: SparkSession, root: str, config: Config, at_once: int = 64) -> DataFrame:
+    """(path, size_bytes, mtime) of the files to index; names only, no contents.
 
     Spark's own file listing leaves out names that begin with a dot or an underscore, such as
-    ``__init__.py``, so the tree is walked here, pruning ignored folders.
+    ``__init__.py``, so folders are walked here. The driver visits folders from the top only until it
+    knows ``at_once`` that are still to be walked; each of these is walked by a task, with the ignore
+    rules of the folders above it, so the names of a large tree never meet on the driver.
     """
-    found: list[tuple[str, int, int]] = []
-    rules: list[tuple[str, re.Pattern, bool, bool]] = []
-    for at, dirs, names in os.walk(root):
-        base = os.path.relpath(at, root).replace(os.sep, "/")
-        base = "" if base == "." else base + "/"
-        for name in (".gitignore", ".ignore"):
-            if name in names:
-                with open(os.path.join(at, name), encoding="utf-8", errors="replace") as f:
-                    rules += [(base, *rule) for line in f if (rule := ignore_regex(line))]
-        dirs[:] = sorted(d for d in dirs if d not in config.ignored_dirs and not ignored(base + d, rules, True))
-        for name in names:
-            path = base + name
-            if name in config.ignored_dirs or name.rpartition(".")[2] in config.ignored_extensions and "." in name or ignored(path, rules):
-                continue
-            info = os.stat(os.path.join(at, name))
-            found.append((path, info.st_size, info.st_mtime_ns))
-    return sorted(found)
+    todo: list[tuple[str, Rules]] = [("", outer_rules(root))]
+    seen: list[tuple[str, int, int]] = []
+    while todo and len(todo) < at_once:
+        files, folders = visit(root, *todo.pop(0), config)
+        seen += files
+        todo += folders
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder, rules in zip(pdf["folder"], pdf["rules"]):
+                pending = [(folder, [tuple(r) for r in json.loads(rules)])]
+                found: list[tuple[str, int, int]] = []
+                while pending:
+                    files, folders = visit(root, *pending.pop(), config)
+                    found += files
+                    pending += folders
+                    if len(found) > 10_000:
+                        yield pd.DataFrame(found, columns=["path", "size_bytes", "mtime"])
+                        found = []
+                yield pd.DataFrame(found, columns=["path", "size_bytes", "mtime"]).astype({"size_bytes": "int64", "mtime": "int64"})
+
+    listed = spark.createDataFrame(seen, _LISTED)
+    if not todo:
+        return listed
+    folders = spark.createDataFrame([(f, json.dumps(r)) for f, r in todo], "folder string, rules string").repartition(len(todo))
+    return listed.unionByName(folders.mapInPandas(walk, _LISTED))
 
 
 def scan_repository(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
     """(path, language, size_bytes, content_hash, content, indexed_at): the files of a repository by path.
 
-    Ignore files (``.gitignore``, ``.ignore``) count below their folder, deeper ones last; folders
-    and extensions that the configuration names are left out, dotfiles are kept. Files over the
-    size limit or in no allowed language have a null content; bytes that are no UTF-8 become the
-    replacement character. The hash is of the bytes, or of size and time for files over the
-    limit. Only names and sizes pass the driver; the tasks read the contents from the root, which
-    all executors must see.
+    Ignore files (``.gitignore``, ``.ignore``) count below their folder, deeper ones last, after those of
+    the folders above the root, ``.git/info/exclude`` and the user's global file; folders and extensions
+    that the configuration names are left out, dotfiles are kept. Files over the size limit or in no
+    allowed language have a null content; bytes that are no UTF-8 become the replacement character.
+    The hash is of the bytes, or of size and time for files over the limit. The tasks list and read
+    below the root, which all executors must see; names are ordered before the texts are read.
     """
     config = config or Config()
     root = open_repository(root)
     ship_code(spark)
-    names = spark.createDataFrame(list_files(root, config), "path string, size_bytes long, mtime long")
-    names = names.repartition(spark.sparkContext.defaultParallelism).withColumn("language", detect_language(F.col("path")))
+    names = list_files(spark, root, config).withColumn("language", detect_language(F.col("path"))).orderBy("path")
     limit, languages = config.max_file_size_bytes, frozenset(config.languages)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            digests, texts = [], []
-            for path, size, mtime, language in zip(pdf["path"], pdf["size_bytes"], pdf["mtime"], pdf["language"]):
-                raw = None
-                if size <= limit:
-                    with open(os.path.join(root, path), "rb") as f:
-                        raw = f.read()
-                digests.append(hashlib.sha256(raw if raw is not None else f"{size}:{mtime}".encode()).hexdigest())
-                texts.append(raw.decode("utf-8", "replace") if raw is not None and language in languages else None)
-            yield pdf[["path", "language", "size_bytes"]].assign(content_hash=digests, content=texts)
+            for at in range(0, len(pdf), 256):  # texts of few files at a time
+                part = pdf.iloc[at : at + 256]
+                digests, texts = [], []
+                for path, size, mtime, language in zip(part["path"], part["size_bytes"], part["mtime"], part["language"]):
+                    raw = None
+                    if size <= limit:
+                        with open(os.path.join(root, path), "rb") as f:
+                            raw = f.read()
+                    digests.append(hashlib.sha256(raw if raw is not None else f"{size}:{mtime}".encode()).hexdigest())
+                    texts.append(raw.decode("utf-8", "replace") if raw is not None and language in languages else None)
+                yield part[["path", "language", "size_bytes"]].assign(content_hash=digests, content=texts)
 
     rows = names.mapInPandas(read, "path string, language string, size_bytes long, content_hash string, content string")
-    return rows.withColumn("indexed_at", F.unix_timestamp()).orderBy("path")
+    return rows.withColumn("indexed_at", F.unix_timestamp())

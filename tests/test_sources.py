@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeloom import cli
 from codeloom.functions import render
 from codeloom.sources.config import Config, load_config
-from codeloom.sources.repo_files import ignore_regex, ignored, open_repository, resolve_inside, scan_repository
+from codeloom.sources.repo_files import ignore_regex, ignored, list_files, open_repository, resolve_inside, scan_repository
 
 
 def rules(text, base=""):
@@ -35,6 +35,21 @@ def test_scan(spark, tmp_path):
     assert by["a.py"]["size_bytes"] == 6 and by["lib/b.rs"]["language"] == "rust"
 
 
+def test_ignore_files_beside_and_above(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "conf"))
+    top = tmp_path / "top"
+    for name, text in {
+        "conf/git/ignore": "*.glob\n", "top/.gitignore": "*.up\n/root/only.py\n!keep.glob\n", "top/.git/HEAD": "", "top/root/a.py": "1", "top/root/b.up": "1", "top/root/c.glob": "1", "top/root/keep.glob": "1", "top/root/only.py": "1",
+        "top/root/sub/only.py": "1", "top/root/sub/.ignore": "!b.up\n", "top/root/sub/b.up": "1", "top/root/sub/x/y/z.py": "1", "own/.git/info/exclude": "*.ex\n", "own/a.ex": "1", "own/b.py": "1",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    listed = lambda p, k: sorted(r["path"] for r in list_files(spark, str(p), Config(), k).collect())
+    for k in (1, 2, 64):
+        assert listed(top / "root", k) == ["a.py", "keep.glob", "sub/.ignore", "sub/b.up", "sub/only.py", "sub/x/y/z.py"]
+    assert listed(tmp_path / "own", 64) == ["b.py"]
+
+
 def test_paths_stay_inside(tmp_path):
     root = open_repository(str(tmp_path))
     assert resolve_inside(root, "a/b").startswith(root)
@@ -47,10 +62,11 @@ def test_paths_stay_inside(tmp_path):
 def test_config(tmp_path):
     assert load_config(str(tmp_path / "none.toml")) == Config()
     good, bad, odd = tmp_path / "a.toml", tmp_path / "b.toml", tmp_path / "c.toml"
-    good.write_text("max_graph_depth = 3\nlanguages = ['go']\n")
+    good.write_text("max_graph_depth = 3\nlanguages = ['go']\ngit_history_limit = 9\nother = 1\n")
     bad.write_text("x = = 1")
-    odd.write_text("other = 1")
-    assert load_config(str(good)).max_graph_depth == 3
+    odd.write_text("languages = 'go'")
+    assert load_config(str(good)) == Config(max_graph_depth=3, languages=["go"], git_history_limit=9)
+    assert Config().ignored_extensions == [] and "coverage" in Config().ignored_dirs
     for p in (bad, odd):
         with pytest.raises(ValueError):
             load_config(str(p))
