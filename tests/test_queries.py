@@ -1,10 +1,10 @@
 import pytest
 
-from codeloom.plans import core_problems, index_queries, report_queries
+from codeloom.plans import core_problems, index_queries, parse_queries, report_queries
 from oracle import same
 
-WITH_SQL = [(m, n) for m in (index_queries, core_problems, report_queries) for n in m.QUERIES if n in m.ORACLE]
-WITHOUT = [(m, n) for m in (index_queries, core_problems, report_queries) for n in m.QUERIES if n not in m.ORACLE]
+WITH_SQL = [(m, n) for m in (index_queries, core_problems, report_queries, parse_queries) for n in m.QUERIES if n in m.ORACLE]
+WITHOUT = [(m, n) for m in (index_queries, core_problems, report_queries, parse_queries) for n in m.QUERIES if n not in m.ORACLE]
 
 
 @pytest.mark.parametrize("module,name", WITH_SQL, ids=[n for _, n in WITH_SQL])
