@@ -176,7 +176,7 @@ def touched_files(deltas: DataFrame) -> DataFrame:
     A commit touches ``new_path``, or ``old_path`` where that is null, with forward slashes.
     """
     path = F.translate(F.coalesce("new_path", "old_path"), "\\", "/")
-    return deltas.select(F.split(path, "/")[0].alias("space"), F.col("sha").alias("basket"), path.alias("item"))
+    return deltas.select(F.substring_index(path, "/", 1).alias("space"), F.col("sha").alias("basket"), path.alias("item"))
 
 
 def coupled_files(deltas: DataFrame) -> DataFrame:
