@@ -99,8 +99,25 @@ def reference_key_stats(refs: DataFrame, chunk_rows: int = CHUNK_ROWS, fan_in: i
     return merged.withColumn("rows_other", F.col("n_rows") - known), total
 
 
+def key_counts(refs: DataFrame, fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
+    """(field, key_value, n_rows) of every key, and the number of rows: ``reference_key_stats`` without
+    the distinct counts, which need equal ids in one chunk.
+
+    A chunk is an input split, whose size Spark bounds: its rows are combined where they are read, and
+    only one state per key and split is moved and merged.
+    """
+    read = refs.select("to_name", "to_symbol_id", F.spark_partition_id().alias("chunk"))
+    total, last = read.agg(F.count(F.lit(1)), F.coalesce(F.max("chunk"), F.lit(0))).first()
+    keyed = read.select("chunk", F.explode(F.array(
+        F.struct(F.lit("to_name").alias("field"), F.col("to_name").alias("key_value")),
+        F.struct(F.lit("to_symbol_id").alias("field"), F.col("to_symbol_id").cast("string").alias("key_value")),
+    )).alias("f"))
+    states = keyed.select(F.col("chunk").cast("long").alias("chunk"), "f.*").groupBy("field", "key_value", "chunk").agg(F.count(F.lit(1)).alias("n_rows"))
+    return tree_merge(states, ["field", "key_value"], ["n_rows"], last + 1, fan_in), total
+
+
 def hot_keys(refs: DataFrame, share: float = 0.01) -> DataFrame:
     """(field, key_value) of each non-null key that holds at least ``share`` of all rows."""
-    stats, total = reference_key_stats(refs)
+    counts, total = key_counts(refs)
     least = F.col("n_rows") >= F.lit(share) * F.lit(total)
-    return stats.where(F.col("key_value").isNotNull() & least).select("field", "key_value")
+    return counts.where(F.col("key_value").isNotNull() & least).select("field", "key_value")

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from codeloom.operators.tree_agg import chunk_count, hot_keys, reference_key_stats
+from codeloom.operators.tree_agg import chunk_count, hot_keys, key_counts, reference_key_stats
 
 SCHEMA = "id long, from_file_id long, to_name string, to_symbol_id long, kind string"
 
@@ -57,3 +57,13 @@ def test_hot_keys_share(spark):
 
 def test_chunk_count():
     assert [chunk_count(n, 10) for n in (0, 1, 10, 11)] == [1, 1, 1, 2]
+
+
+@pytest.mark.parametrize("fan_in,parts", [(2, 9), (16, 3)])
+def test_key_counts_are_those_of_the_full_statistics(spark, fan_in, parts):
+    rows = [(i, f"n{i % 3}" if i % 7 else None, i % 4 if i % 5 else None, 1, "call") for i in range(200)] * 2
+    refs = spark.createDataFrame(rows, "id long, to_name string, to_symbol_id long, from_file_id long, kind string").repartition(parts)
+    counts, total = key_counts(refs, fan_in)
+    want = {(r["field"], r["key_value"]): r["n_rows"] for r in reference_key_stats(refs, chunk_rows=50)[0].collect()}
+    assert total == 400 and {(r["field"], r["key_value"]): r["n_rows"] for r in counts.collect()} == want
+    assert key_counts(refs.limit(0))[1] == 0 and hot_keys(refs.limit(0)).count() == 0
