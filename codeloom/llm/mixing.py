@@ -4,10 +4,12 @@ A naive Bayes classifier over token ids is fitted on labelled documents and give
 a posterior over the domains. The membership of a document is its recorded label (weight
 ``label_trust``) and its posterior (the rest). Projected gradient descent then fits one
 nonnegative rate per document and mix, at most the mix's ``max_repeats``, so that the expected
-tokens per domain meet the targets in the least-squares sense; every step is one aggregation over
-all documents that returns one residual per mix and domain. A second descent with the labels
-alone makes the totals by label exact, since the shares are reported by label. Rates are rounded
-to whole repeats so that the rounding errors cancel, in hash buckets of bounded size.
+tokens per domain meet the targets in the least-squares sense. The projection is lazy: gradients
+are summed, and a rate is the sum clipped to its range, so the state of the descent is one number
+per mix and domain and a step costs the same however many came before. Every step is one
+aggregation over all documents that returns one residual per mix and domain. A second descent with
+the labels alone makes the totals by label exact, since the shares are reported by label. Rates are
+rounded to whole repeats so that the rounding errors cancel, in hash buckets of bounded size.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from codeloom.session import cut
 
 #: The classifier is fitted on at most about so many labelled documents, chosen by a hash of the id.
 FIT_DOCS = 50_000
-#: Token ids are counted modulo this many features.
-FEATURES = 4096
 LABEL_TRUST = 0.9
-STEPS = 40
+#: A descent ends when the tokens that its targets still lack change, per mix, by less than this
+#: share of all tokens: with posteriors, and then with labels, which make the totals exact. Each
+#: gives up, and says so, after so many steps.
+SETTLED, STEPS = (1e-4, 1e-6), 200
 BUCKET_DOCS = 20_000
 
 
@@ -52,18 +55,28 @@ def _encoded(docs: DataFrame, tokenizer_dir: str, name: str) -> DataFrame:
 
 
 def _fit(encoded: DataFrame, labels: list[str], n_docs: int) -> np.ndarray:
-    """Log-likelihoods (domain by feature, then the prior in the last column)."""
+    """Log-likelihoods (domain by token id, then the prior in the last column)."""
     share = min(1.0, FIT_DOCS / max(1, n_docs))
     chosen = encoded.where(F.col("label").isin(labels) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    counts = (
-        chosen.select("label", F.explode("ids").alias("id")).groupBy("label", F.pmod("id", F.lit(FEATURES)).alias("f")).count().collect()
-    )  # at most len(labels) * FEATURES rows
-    table = np.ones((len(labels), FEATURES))
-    for r in counts:
-        table[labels.index(r["label"]), r["f"]] += r["count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.array([labels.index(x) for x in b.column(0).to_pylist()], np.int64)
+            ids = b.column(1)
+            flat = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()].astype(np.int64)
+            code, n = np.unique(np.repeat(at, np.diff(ids.offsets.to_numpy())) << 32 | flat, return_counts=True)
+            docs = np.bincount(at, minlength=len(labels))
+            k = np.arange(len(labels))
+            cols = [np.concatenate([code >> 32, k]), np.concatenate([code & 0xFFFFFFFF, np.full(len(k), -1)]), np.concatenate([n, docs])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["k", "id", "n"])
+
+    counts = chosen.select("label", "ids").mapInArrow(run, "k long, id long, n long").groupBy("k", "id").agg(F.sum("n").alias("n"))
+    rows = counts.toPandas()  # at most domains * (size of the vocabulary + 1) rows
+    table = np.ones((len(labels), int(max(rows["id"].max() if len(rows) else 0, 0)) + 2))  # the last column is for unseen ids
     prior = np.ones(len(labels))
-    for r in chosen.groupBy("label").count().collect():
-        prior[labels.index(r["label"])] += r["count"]
+    is_doc = (rows["id"] < 0).to_numpy()
+    np.add.at(prior, rows["k"].to_numpy()[is_doc], rows["n"].to_numpy()[is_doc])
+    np.add.at(table, (rows["k"].to_numpy()[~is_doc], rows["id"].to_numpy()[~is_doc]), rows["n"].to_numpy()[~is_doc])
     return np.hstack([np.log(table / table.sum(1, keepdims=True)), np.log(prior / prior.sum())[:, None]]).astype(np.float32)
 
 
@@ -74,7 +87,7 @@ def _members(encoded: DataFrame, labels: list[str], model: np.ndarray, trust: fl
         for b in batches:
             ids = b.column(3)
             lens = np.diff(ids.offsets.to_numpy())
-            flat = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()] % FEATURES
+            flat = np.minimum(ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()], model.shape[1] - 2)
             owner = np.repeat(np.arange(len(lens)), lens)
             score = np.stack([np.bincount(owner, model[k][flat], len(lens)) for k in range(len(labels))], 1) if len(lens) else np.zeros((0, len(labels)))
             # The geometric mean over tokens tempers the overconfidence of naive Bayes.
@@ -84,22 +97,17 @@ def _members(encoded: DataFrame, labels: list[str], model: np.ndarray, trust: fl
             at = b.column(1).to_numpy()
             q = (1 - trust) * post
             q[np.arange(len(at)), at] += trust
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(q.astype(np.float32).tolist(), pa.list_(pa.float32()))], ["doc_id", "at", "n_tokens", "q"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(np.arange(0, q.size + 1, len(labels), dtype=np.int32), q.astype(np.float32).ravel())], ["doc_id", "at", "n_tokens", "q"])
 
     number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
     rows = encoded.where(F.col("label").isin(labels)).select("doc_id", number.cast("int").alias("at"), "n_tokens", "ids")
     return rows.mapInArrow(run, "doc_id long, at int, n_tokens long, q array<float>")
 
 
-def _rates(at: np.ndarray, q: np.ndarray, caps: np.ndarray, soft: list[np.ndarray], hard: list[np.ndarray]) -> np.ndarray:
-    """Rates (documents by mixes) after the given steps; a step is a (mixes by domains) array."""
+def _rates(at: np.ndarray, q: np.ndarray, caps: np.ndarray, soft: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """Rates (documents by mixes) for the summed gradients of both descents (mixes by domains)."""
     cap = caps[:, at].T
-    rate = np.zeros_like(cap)
-    for step in soft:
-        rate = np.clip(rate + q @ step.T, 0, cap)
-    for step in hard:
-        rate = np.clip(rate + step[:, at].T, 0, cap)
-    return rate
+    return np.clip(np.clip(q @ soft.T, 0, cap) + hard[:, at].T, 0, cap)
 
 
 def _arrays(b: pa.RecordBatch, domains: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +115,7 @@ def _arrays(b: pa.RecordBatch, domains: int) -> tuple[np.ndarray, np.ndarray, np
     return b.column(1).to_numpy(), b.column(2).to_numpy(), q
 
 
-def _totals(members: DataFrame, caps: np.ndarray, soft: list[np.ndarray], hard: list[np.ndarray], by_label: bool) -> np.ndarray:
+def _totals(members: DataFrame, caps: np.ndarray, soft: np.ndarray, hard: np.ndarray, by_label: bool) -> np.ndarray:
     """Tokens (mixes by domains) under the present rates, then one row with the tokens there are."""
     mixes, domains = caps.shape
 
@@ -115,9 +123,8 @@ def _totals(members: DataFrame, caps: np.ndarray, soft: list[np.ndarray], hard:
         total = np.zeros((mixes + 1, domains))
         for b in batches:
             at, n, q = _arrays(b, domains)
-            q = np.eye(domains)[at] if by_label else q
-            rate = _rates(at, _arrays(b, domains)[2], caps, soft, hard)
-            total += np.vstack([rate.T, np.ones(len(at))]) * n @ q
+            rate = np.vstack([_rates(at, q, caps, soft, hard).T, np.ones(len(at))])
+            total += rate * n @ (np.eye(domains)[at] if by_label else q)
         m, d = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(m.ravel(), pa.int32()), pa.array(d.ravel(), pa.int32()), pa.array(total.ravel())], ["m", "d", "x"])
 
@@ -154,7 +161,7 @@ def mix_documents(docs: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKE
     whichever is less: what a short source lacks is reported, not given to others. Documents
     without a listed source are in no mix; null and empty texts have no tokens and are drawn 0
     times. Repeats: mix_id, source, doc_id, n_tokens, repeats >= 1. Shares: one row per target,
-    also where the source has no documents.
+    also where the source has no documents; ``settled`` says whether both descents ended by themselves.
     """
     spark = docs.sparkSession
     rows = targets.select("mix_id", source_key(F.col("source")).alias("source"), "target_share", "max_repeats", "budget_share").collect()
@@ -166,19 +173,24 @@ def mix_documents(docs: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKE
         at = mixes.index(r["mix_id"]), labels.index(r["source"])
         caps[at], want[at] = r["max_repeats"], r["target_share"] * r["budget_share"] * all_tokens
     members = cut(_members(encoded, labels, _fit(encoded, labels, all_docs), label_trust).where(F.col("n_tokens") > 0))
-    soft: list[np.ndarray] = []
-    hard: list[np.ndarray] = []
-    for steps, by_label in ((soft, False), (hard, True)):
+    sums = np.zeros((2, *caps.shape))
+    settled = True
+    for by_label, enough in zip((False, True), SETTLED):
         before = np.inf
-        for _ in range(STEPS):
-            got = _totals(members, caps, soft, hard, by_label)
-            there = np.maximum(got[-1], 1)
+        for step in range(STEPS + 1):
+            got = _totals(members, caps, *sums, by_label)
             residual = want - got[:-1]
             error = float(np.abs(residual).sum()) / max(1, all_tokens)
-            if error < 1e-6 or before - error < 1e-6 * len(mixes):
+            if error < enough or before - error < enough * len(mixes):
                 break
+            settled &= step < STEPS
             before = error
-            steps.append(residual / there)  # each document moves by the share its domains lack
+            # Each document moves by the share that its domains lack; what would only carry a domain
+            # further beyond its largest rate, or below none, is left out of the sum.
+            sums[int(by_label)] += residual / np.maximum(got[-1], 1)
+            if by_label:
+                sums[1] = np.clip(sums[1], -caps, caps)
+    soft, hard = sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,4 +226,4 @@ def mix_documents(docs: DataFrame, targets: DataFrame, tokenizer_dir: str = TOKE
     shares = shares.withColumn("mean_repeats", F.when(F.col("tokens_there") > 0, F.col("tokens_used") / F.col("tokens_there")).otherwise(F.lit(0.0)))
     total = F.sum("tokens_used").over(mix)
     shares = shares.withColumn("actual_share", F.when(total > 0, F.col("tokens_used") / total).otherwise(F.lit(0.0)))
-    return repeats, shares
+    return repeats, shares.withColumn("settled", F.lit(settled))
