@@ -188,3 +188,27 @@ def current_warnings(parse_results: DataFrame, files: DataFrame, most: int = 25)
     f = files_now(files).select(F.col("id").alias("file_id"), F.col("content_hash").alias("parsed_hash"))
     rows = parse_results.select("file_id", "parsed_hash", F.slice("warnings", 1, most).alias("w")).join(f, ["file_id", "parsed_hash"]).distinct()
     return rows.select("file_id", F.posexplode("w").alias("pos", "warning")).withColumn("pos", F.col("pos") + 1)
+
+
+def contexts(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame, deltas: DataFrame, commits: DataFrame, sources: DataFrame, limit: int | None = PROFILE_HISTORY) -> DataFrame:
+    """One row per target with its profile and its change report, nested: what an export holds.
+
+    Columns: those of ``symbol_profiles``, kind, line, signature, doc_comment, introduced_summary,
+    reading (array of item, why, evidence), risk, reasons (array of text), is_public, test_suites,
+    warnings (array of text), confidence.
+    """
+    profile = symbol_profiles(targets, symbols, files, refs, deltas, commits, sources, limit)
+    own = rows_now(symbols).select(F.col("id").alias("symbol_id"), "kind", F.col("start_line").alias("line"), "signature", "doc_comment")
+    listed = lambda df, order, what: df.groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct(*order, *what))).alias("a"))
+    items = reading_items(targets, symbols, files, refs)
+    reading = listed(items, ["section", "pos"], ["item", "why", "evidence"]).select("symbol_id", F.transform("a", lambda x: F.struct(x["item"].alias("item"), x["why"].alias("why"), x["evidence"].alias("evidence"))).alias("reading"))
+    blast = E.blast_radius(targets, symbols, files, refs)
+    why = listed(risk_reasons(blast, refs, files), ["pos"], ["text"]).select("symbol_id", F.col("a.text").alias("reasons"))
+    warned = listed(historical_warnings(targets, symbols, files, deltas, commits), ["seq"], ["text"]).select("symbol_id", F.col("a.text").alias("warnings"))
+    report = change_reports(targets, symbols, files, refs, deltas, commits).select("symbol_id", "confidence")
+    first = commits_now(commits).select(F.col("sha").alias("introduced"), F.col("summary").alias("introduced_summary"))
+    rows = profile.join(own, "symbol_id").join(blast.select("symbol_id", "risk", "is_public", "test_suites"), "symbol_id").join(report, "symbol_id").join(first, "introduced", "left")
+    for part in (reading, why, warned):
+        rows = rows.join(part, "symbol_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"reasons": F.coalesce("reasons", none), "warnings": F.coalesce("warnings", none)})

@@ -106,4 +106,12 @@ ORACLE = {
         SELECT u.descendant_id, l.parent, u.distance + 1, list_append(u.seen, l.parent)
         FROM up u JOIN links l ON l.child = u.ancestor_id WHERE NOT list_contains(u.seen, l.parent))
       SELECT ancestor_id, descendant_id, distance FROM up""",
+    "p4_loops": f"""
+      WITH RECURSIVE {_LINKS},
+      endless AS (SELECT child, parent FROM links WHERE child NOT IN (SELECT symbol_id FROM walk)),
+      trip AS (
+        SELECT child AS start, parent AS met, 1 AS n FROM endless
+        UNION ALL
+        SELECT t.start, e.parent, t.n + 1 FROM trip t JOIN endless e ON e.child = t.met WHERE t.met <> t.start AND t.n <= (SELECT count(*) FROM endless))
+      SELECT min(met) AS loop_id, start AS symbol_id FROM trip GROUP BY start HAVING bool_or(met = start)""",
 }

@@ -387,3 +387,55 @@ ORACLE |= {
         round(CAST(CAST(CASE WHEN x.n + y.n > b.c THEN b.c / (x.n + y.n - b.c) ELSE 0 END AS FLOAT) AS DOUBLE), 5) AS ratio
       FROM b JOIN n x ON x.target = b.target JOIN n y ON y.target = b.file""",
 }
+
+# The lines, bindings and module paths of the import tier, written with SQL lists.
+_LINES = f"""lines AS (SELECT file_id, path, language, unnest(string_split(content, chr(10))) AS line FROM (SELECT file_id, path, content, {_LANG} AS language FROM sources WHERE content IS NOT NULL) WHERE language IS NOT NULL)"""
+_BINDINGS = rf"""{_LINES},
+  script AS (SELECT file_id, path, regexp_extract(line, '^import\s+(?:type\s+)?(.*?)\s*from\s+["'']([^"'']+)["'']', 1) AS clause, regexp_extract(line, 'from\s+["'']([^"'']+)["'']', 1) AS module
+    FROM lines WHERE language IN ('type_script', 'tsx', 'java_script')),
+  use AS (SELECT file_id, path, regexp_extract(line, '^\s*(?:pub\s+)?use\s+([^;{{}}]+?)(?:::\{{([^{{}}]*)\}})?\s*;', 1) AS head, regexp_extract(line, '^\s*(?:pub\s+)?use\s+([^;{{}}]+?)(?:::\{{([^{{}}]*)\}})?\s*;', 2) AS names FROM lines WHERE language = 'rust'),
+  item AS (
+    SELECT file_id, path, module, unnest(string_split(regexp_extract(clause, '\{{([^}}]*)\}}', 1), ',')) AS item FROM script WHERE clause <> ''
+    UNION ALL SELECT file_id, path, regexp_extract(line, '^from\s+(\S+)\s+import\s+\(?([^()#]+)', 1), unnest(string_split(regexp_extract(line, '^from\s+(\S+)\s+import\s+\(?([^()#]+)', 2), ',')) FROM lines WHERE language = 'python'
+    UNION ALL SELECT file_id, path, CASE WHEN names <> '' THEN head ELSE regexp_replace(head, '::[^:]*$', '') END,
+      unnest(CASE WHEN names <> '' THEN string_split(names, ',') ELSE [regexp_extract(head, '([^:]*)$', 1)] END) FROM use WHERE head <> ''),
+  w AS (SELECT file_id, path, module, string_split_regex(regexp_replace(trim(item), '^type\s+', ''), '\s+as\s+') AS w FROM item),
+  p AS (SELECT file_id, path, string_split_regex(trim(item), '\s+as\s+') AS w FROM (SELECT file_id, path, unnest(string_split(regexp_extract(line, '^import\s+([^#]+)', 1), ',')) AS item FROM lines WHERE language = 'python')),
+  g AS (SELECT file_id, path, regexp_extract(line, '^\s*(?:import\s+)?(?:([\w.]+)\s+)?"([^"]+)"\s*$', 1) AS alias, regexp_extract(line, '^\s*(?:import\s+)?(?:([\w.]+)\s+)?"([^"]+)"\s*$', 2) AS module FROM lines WHERE language = 'go'),
+  bound AS (SELECT file_id, path, local_name, source_module, imported_name FROM (
+    SELECT file_id, path, CASE WHEN len(w) > 1 THEN w[2] ELSE w[1] END AS local_name, module AS source_module, w[1] AS imported_name FROM w
+    UNION ALL SELECT file_id, path, regexp_extract(clause, '^([\w$]+)\s*(?:,|$)', 1), module, 'default' FROM script WHERE clause <> ''
+    UNION ALL SELECT file_id, path, CASE WHEN len(w) > 1 THEN w[2] ELSE split_part(w[1], '.', 1) END, w[1], w[1] FROM p
+    UNION ALL SELECT file_id, path, CASE WHEN alias <> '' THEN alias ELSE regexp_extract(module, '([^/]*)$', 1) END, module, regexp_extract(module, '([^/]*)$', 1) FROM g WHERE module <> '')
+    WHERE local_name <> '' AND local_name <> '*')
+"""
+_MODULES = rf"""
+  dirs AS (SELECT *, {_LANG} AS language, list_filter(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda x: x <> '') AS d, string_split(path, '/') AS whole, string_split(source_module, '::') AS parts,
+    length(regexp_extract(source_module, '^(\.+)', 1)) AS dots FROM bound),
+  rs AS (SELECT *, list_position(whole, 'src') AS src_at, whole[1:list_position(whole, 'src')] AS root, whole[list_position(whole, 'src') + 1:] AS below FROM dirs),
+  rm AS (SELECT *, CASE WHEN len(below) = 0 THEN below WHEN regexp_replace(below[-1], '\.rs$', '') IN ('mod', 'lib', 'main') THEN below[1:len(below) - 1] ELSE below[1:len(below) - 1] || [regexp_replace(below[-1], '\.rs$', '')] END AS inner_module FROM rs),
+  stems AS (SELECT file_id, path, local_name, source_module, imported_name, language, CASE
+    WHEN language IN ('type_script', 'tsx', 'java_script') THEN CASE WHEN regexp_matches(source_module, '^(\./|\.\./)') OR source_module IN ('.', '..') THEN
+      list_reduce(list_prepend(array_to_string(d, '/'), string_split(source_module, '/')), lambda a, b: CASE WHEN b IN ('.', '') THEN a WHEN b = '..' THEN regexp_replace(a, '/?[^/]*$', '') WHEN a = '' THEN b ELSE a || '/' || b END) END
+    WHEN language = 'python' THEN CASE WHEN starts_with(source_module, '.') THEN
+      array_to_string(d[1:greatest(len(d) - (dots - 1), 0)] || list_filter(string_split(regexp_replace(source_module, '^\.+', ''), '.'), lambda x: x <> ''), '/') END
+    WHEN language = 'rust' AND src_at > 0 THEN CASE parts[1] WHEN 'crate' THEN array_to_string(root || parts[2:], '/') WHEN 'self' THEN array_to_string(root || inner_module || parts[2:], '/')
+      WHEN 'super' THEN array_to_string(root || inner_module[1:len(inner_module) - 1] || parts[2:], '/') END END AS stem FROM rm),
+  tails AS (SELECT unnest(['script', 'python', 'rust']) AS family, unnest([{list(R.SUFFIXES["script"])}, {list(R.SUFFIXES["python"])}, {list(R.SUFFIXES["rust"])}]) AS t),
+  tail AS (SELECT family, unnest(list_prepend('', t)) AS tail, unnest(range(0, len(t) + 1)) AS pos FROM tails),
+  best AS (SELECT file_id, local_name, source_module, imported_name, arg_min(f.id, pos) AS target FROM stems
+    JOIN tail ON family = CASE WHEN language IN ('python', 'rust') THEN language ELSE 'script' END JOIN f ON f.path = stem || tail WHERE stem IS NOT NULL GROUP BY ALL),
+  bind AS (SELECT s.file_id, s.local_name AS name, count(*) AS n, min(best.target) AS target, min(s.imported_name) AS imported FROM stems s LEFT JOIN best USING (file_id, local_name, source_module, imported_name) GROUP BY ALL)
+"""
+ORACLE |= {
+    "import_bindings": f"WITH {_BINDINGS} SELECT * FROM bound",
+    "resolve_refs_imports": f"""WITH {_F}, {_REF}, {_SYM}, {_BINDINGS}, {_MODULES},
+      here AS (SELECT file_id, name, count(*) AS n, min(id) AS id FROM s GROUP BY file_id, name), anywhere AS (SELECT name, count(*) AS n, min(id) AS id FROM s GROUP BY name)
+      SELECT r.id AS ref_id,
+        CASE WHEN h.n >= 1 THEN CASE WHEN h.n = 1 THEN h.id END WHEN b.n >= 1 THEN CASE WHEN b.n = 1 AND t.n = 1 THEN t.id END WHEN a.n = 1 THEN a.id END AS resolved_id,
+        CASE WHEN h.n >= 1 THEN CASE WHEN h.n = 1 THEN 'high' ELSE 'low' END WHEN b.n >= 1 THEN CASE WHEN b.n = 1 AND t.n = 1 THEN 'high' WHEN b.n = 1 AND b.target IS NOT NULL THEN 'medium' ELSE 'low' END
+          WHEN a.n = 1 THEN 'medium' ELSE 'low' END AS confidence,
+        CASE WHEN h.n >= 1 THEN 'same_file' WHEN b.n >= 1 THEN 'import' ELSE 'global' END AS tier
+      FROM r LEFT JOIN here h ON h.file_id = r.from_file_id AND h.name = r.to_name LEFT JOIN bind b ON b.file_id = r.from_file_id AND b.name = r.to_name
+        LEFT JOIN here t ON t.file_id = b.target AND t.name = b.imported LEFT JOIN anywhere a ON a.name = r.to_name""",
+}

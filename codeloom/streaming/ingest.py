@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from codeloom.model import files_now
 from codeloom.session import ensure_checkpoint_dir, table
@@ -21,26 +23,41 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_files_snapshot(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def _stored(spark: SparkSession, place: str, schema: StructType, below: int | None = None) -> DataFrame | None:
+    """The newest version of every bucket under ``place``, of versions before ``below``; None if there is none."""
+    try:
+        rows = spark.read.schema(StructType([*schema.fields, StructField("version", LongType()), StructField("bucket", IntegerType())])).parquet(place)
+    except AnalysisException:  # nothing was written yet
+        return None
+    if below is not None:
+        rows = rows.where(F.col("version") < below)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["bucket", "version"])
+
+
+def keep_files_snapshot(spark: SparkSession, stream: DataFrame, place: str | None = None, buckets: int = 32) -> DataFrame:
     """Run a stream of ``files`` rows to its end and return the latest row per id.
 
-    Every micro-batch is merged with the snapshot before it and written as a new version next to
-    it in the shared checkpoint folder; a batch that is run again overwrites its own version, so
-    the result holds each row once. Late and repeated rows do not change the latest.
+    ``place`` is a folder that all executors share; a later call with the same place goes on where
+    the stream stood, and what was kept is kept. Rows lie in buckets by their id. A micro-batch reads
+    and writes only the buckets of its own ids, as a version with the number of the batch, so a batch
+    that is run again overwrites its own version and the result holds each row once. Late and repeated
+    rows do not change the latest. Versions of a bucket before its newest may be removed at any time.
     """
-    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    last: dict[str, int] = {}
+    place = place or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows_at, schema = f"{place}/rows", stream.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = [i for i in last.values() if i < batch_id]
-        rows = batch if not before else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{base}/v{max(before)}"))
-        files_now(rows).write.mode("overwrite").parquet(f"{base}/v{batch_id}")
-        last["at"] = batch_id
+        fresh = batch.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+        before = _stored(spark, rows_at, schema, batch_id)
+        if before is not None:
+            fresh = fresh.unionByName(before.drop("version").join(fresh.select("bucket").distinct(), "bucket", "left_semi"))
+        files_now(fresh).write.mode("overwrite").partitionBy("bucket").parquet(f"{rows_at}/version={batch_id}")
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = stream.schema
-    return spark.read.schema(schema).parquet(f"{base}/v{last['at']}") if last else spark.createDataFrame([], schema)
+    kept = _stored(spark, rows_at, schema)
+    return spark.createDataFrame([], schema) if kept is None else kept.select(*schema.names)
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -87,5 +87,23 @@ def test_command_line(spark, data, capsys):
     assert cli.answer(spark, data, "callers", "merge", depth=1).count() >= 1
     cli.main([data, "impact", "merge", "--form", "md"])
     assert "# Blast radius of symbol" in capsys.readouterr().out
-    with pytest.raises(LookupError):
-        cli.answer(spark, data, "tests", "no such symbol at all")
+    cli.main([data, "explain", "merge", "--form", "md"])
+    shown = capsys.readouterr().out
+    assert all(x in shown for x in ("## Evidence\n- Direct callers: ", "## Before you change this", "- Risk: **", "*Confidence: "))
+    assert cli.answer(spark, data, "before", "merge").first()["text"].startswith("BEFORE YOU CHANGE THIS: ")
+    assert json.loads(cli.answer(spark, data, "explain", "merge").first()["json"])["confidence"] in ("high", "medium", "low")
+    assert cli.answer(spark, data, "evolution", "no/such/path").first()["confidence"] == "low"
+    for wrong in (lambda: cli.answer(spark, data, "explain", "merge", form="xml"), lambda: cli.answer(spark, data, "tests", "no such symbol at all")):
+        with pytest.raises((LookupError, ValueError)):
+            wrong()
+
+
+def test_analyze_and_continue(spark, tmp_path):
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.py").write_text("def f():\n    return g()\n\n\ndef g():\n    return 1\n")
+    first = cli.analyze(spark, str(tmp_path / "repo"), str(tmp_path / "one")).first()
+    assert (first["files_indexed"], first["symbols_indexed"], first["references_resolved"]) == (1, 2, 1)
+    (tmp_path / "repo" / "b.go").write_text("package b\n\nfunc B() {}\n")
+    second = cli.analyze(spark, str(tmp_path / "repo"), str(tmp_path / "two"), str(tmp_path / "one")).first()
+    assert second["files_indexed"] == 1 and spark.read.parquet(f"{tmp_path}/two/symbols.parquet").count() == 3
+    assert cli.answer(spark, str(tmp_path / "two"), "callers", "g", 2).count() == 2
