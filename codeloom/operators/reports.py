@@ -16,6 +16,7 @@ from codeloom.functions.render import evidence_line
 from codeloom.model import CONFIDENCES, commits_now, files_now, rank_of, rows_now, text_of
 from codeloom.operators import evidence as E
 from codeloom.operators import history as H
+from codeloom.session import cut
 
 #: Most commits that a profile looks at (fixed value).
 PROFILE_HISTORY = 2000
@@ -98,7 +99,10 @@ def _history_of(targets: DataFrame, symbols: DataFrame, files: DataFrame, deltas
 
 def historical_warnings(targets: DataFrame, symbols: DataFrame, files: DataFrame, deltas: DataFrame, commits: DataFrame) -> DataFrame:
     """(symbol_id, sha, seq, text): the major refactors in the history of each target's file."""
-    own, walk = _history_of(targets, symbols, files, deltas, commits)
+    return _warnings(*_history_of(targets, symbols, files, deltas, commits), commits)
+
+
+def _warnings(own: DataFrame, walk: DataFrame, commits: DataFrame) -> DataFrame:
     major = H.major_refactors(commits).select("sha", "summary", "files_changed")
     said = walk.select(F.col("target").alias("path"), "sha", "seq").join(major, "sha").join(own, "path")
     text = F.format_string(WARNING, P.short_sha(F.col("sha")), F.coalesce("summary", F.lit("")), "files_changed", "path")
@@ -125,22 +129,27 @@ def risk_reasons(counts: DataFrame, refs: DataFrame, files: DataFrame, sample: i
     return rows.join(cited, "symbol_id", "left").select("symbol_id", "pos", "text", F.when(F.col("cited"), F.col("evidence")).alias("evidence"))
 
 
+def _confidence(items: DataFrame, warned: DataFrame) -> DataFrame:
+    """(symbol_id, n_callers, n_callees, n_tests, n_warnings, rank of the confidence) of the targets that have any."""
+    count = lambda k, name: F.count(F.when(F.col("section") == k, 1)).alias(name)
+    read = items.groupBy("symbol_id").agg(count(1, "n_callers"), count(2, "n_callees"), count(3, "n_tests"), F.max(rank_of(CONFIDENCES, "confidence")).alias("worst"))
+    majors = warned.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    rows = read.join(majors, "symbol_id", "full")
+    return rows.withColumn("rank", F.greatest("worst", F.when(F.col("n_warnings") > 0, 1))).drop("worst")
+
+
 def change_reports(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame, deltas: DataFrame, commits: DataFrame) -> DataFrame:
     """(symbol_id, qualified_name, n_callers, n_callees, n_tests, n_warnings, risk, confidence): one report per target.
 
     Its confidence is the worst among the cited references, the related tests and, where the
     history holds major refactors, medium; medium also where nothing is cited.
     """
-    tests = E.related_tests(targets, symbols, files, refs)
-    items = reading_items(targets, symbols, files, refs, tests)
-    count = lambda k, name: F.count(F.when(F.col("section") == k, 1)).alias(name)
-    read = items.groupBy("symbol_id").agg(count(1, "n_callers"), count(2, "n_callees"), count(3, "n_tests"), F.max(rank_of(CONFIDENCES, "confidence")).alias("worst"))
-    warned = historical_warnings(targets, symbols, files, deltas, commits).groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    found = _confidence(reading_items(targets, symbols, files, refs), historical_warnings(targets, symbols, files, deltas, commits))
     risk = E.blast_radius(targets, symbols, files, refs).select("symbol_id", "risk")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    all_of = rows_now(symbols).select(F.col("id").alias("symbol_id"), "qualified_name").join(risk, "symbol_id").join(read, "symbol_id", "left").join(warned, "symbol_id", "left")
-    rank = F.coalesce(F.greatest("worst", F.when(F.col("n_warnings") > 0, 1)), F.lit(1))
-    return all_of.select("symbol_id", "qualified_name", zero("n_callers"), zero("n_callees"), zero("n_tests"), zero("n_warnings"), "risk", text_of(CONFIDENCES, rank).alias("confidence"))
+    all_of = rows_now(symbols).select(F.col("id").alias("symbol_id"), "qualified_name").join(risk, "symbol_id").join(found, "symbol_id", "left")
+    confidence = text_of(CONFIDENCES, F.coalesce("rank", F.lit(1))).alias("confidence")
+    return all_of.select("symbol_id", "qualified_name", zero("n_callers"), zero("n_callees"), zero("n_tests"), zero("n_warnings"), "risk", confidence)
 
 
 def symbol_profiles(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: DataFrame, deltas: DataFrame, commits: DataFrame, sources: DataFrame, limit: int | None = PROFILE_HISTORY) -> DataFrame:
@@ -197,18 +206,27 @@ def contexts(targets: DataFrame, symbols: DataFrame, files: DataFrame, refs: Dat
     reading (array of item, why, evidence), risk, reasons (array of text), is_public, test_suites,
     warnings (array of text), confidence.
     """
-    profile = symbol_profiles(targets, symbols, files, refs, deltas, commits, sources, limit)
-    own = rows_now(symbols).select(F.col("id").alias("symbol_id"), "kind", F.col("start_line").alias("line"), "signature", "doc_comment")
+    # Each finding is used more than once, so it is computed once.
+    tests = cut(E.related_tests(targets, symbols, files, refs))
+    blast = cut(E.blast_radius(targets, symbols, files, refs))
+    items = cut(reading_items(targets, symbols, files, refs, tests))
+    paths, walk = _history_of(targets, symbols, files, deltas, commits)
+    paths, walk = cut(paths), cut(walk)
+    warned = cut(_warnings(paths, walk, commits))
+    keys = E.config_touches(symbols.join(targets.select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi"), sources)
+    joined = lambda df, c, name: df.groupBy("symbol_id").agg(F.concat_ws(",", F.sort_array(F.collect_list(c))).alias(name))
     listed = lambda df, order, what: df.groupBy("symbol_id").agg(F.sort_array(F.collect_list(F.struct(*order, *what))).alias("a"))
-    items = reading_items(targets, symbols, files, refs)
     reading = listed(items, ["section", "pos"], ["item", "why", "evidence"]).select("symbol_id", F.transform("a", lambda x: F.struct(x["item"].alias("item"), x["why"].alias("why"), x["evidence"].alias("evidence"))).alias("reading"))
-    blast = E.blast_radius(targets, symbols, files, refs)
     why = listed(risk_reasons(blast, refs, files), ["pos"], ["text"]).select("symbol_id", F.col("a.text").alias("reasons"))
-    warned = listed(historical_warnings(targets, symbols, files, deltas, commits), ["seq"], ["text"]).select("symbol_id", F.col("a.text").alias("warnings"))
-    report = change_reports(targets, symbols, files, refs, deltas, commits).select("symbol_id", "confidence")
+    said = listed(warned, ["seq"], ["text"]).select("symbol_id", F.col("a.text").alias("warnings"))
     first = commits_now(commits).select(F.col("sha").alias("introduced"), F.col("summary").alias("introduced_summary"))
-    rows = profile.join(own, "symbol_id").join(blast.select("symbol_id", "risk", "is_public", "test_suites"), "symbol_id").join(report, "symbol_id").join(first, "introduced", "left")
-    for part in (reading, why, warned):
+    own = rows_now(symbols).select(F.col("id").alias("symbol_id"), "qualified_name", "kind", F.col("start_line").alias("line"), "signature", "doc_comment")
+    rows = paths.join(own, "symbol_id").join(blast.select("symbol_id", "direct_callers", "indirect_callers", "risk", "is_public", "test_suites"), "symbol_id")
+    rows = rows.join(H.introduced(walk, limit).withColumnRenamed("target", "path"), "path", "left").join(first, "introduced", "left")
+    for part in (joined(tests, "path", "tests"), joined(keys, "key", "config_keys"), reading, why, said, _confidence(items, warned).select("symbol_id", "rank")):
         rows = rows.join(part, "symbol_id", "left")
     none = F.array().cast("array<string>")
-    return rows.withColumns({"reasons": F.coalesce("reasons", none), "warnings": F.coalesce("warnings", none)})
+    return rows.withColumns({
+        "tests": F.coalesce("tests", F.lit("")), "config_keys": F.coalesce("config_keys", F.lit("")), "reasons": F.coalesce("reasons", none), "warnings": F.coalesce("warnings", none),
+        "modification_count": F.coalesce("modification_count", F.lit(0)).cast("long"), "confidence": text_of(CONFIDENCES, F.coalesce("rank", F.lit(1))),
+    }).drop("rank")
