@@ -80,7 +80,7 @@ def reindex(stored: dict[str, DataFrame], walked: DataFrame, config: Config | No
     raw = numbered(parsing.parsed_references(parsed), refs, ["from_file_id", "from_start_byte", "to_name", "kind"])
     raw = cut(raw)
     answer = resolve.resolve_refs(raw, new_symbols, imports_of(texts), new_files)
-    inside = resolve.innermost_symbols(raw, new_symbols)
+    inside = resolve.attributed_refs(raw, new_symbols)
     made_refs = (
         raw.join(answer.select(F.col("ref_id").alias("id"), F.col("resolved_id").alias("to_symbol_id"), "confidence"), "id")
         .join(inside.select(F.col("ref_id").alias("id"), F.col("symbol_id").alias("from_symbol_id")), "id", "left").select(*_REF)

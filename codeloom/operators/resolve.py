@@ -139,3 +139,15 @@ def innermost_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     r = rows_now(refs).select(F.col("id").alias("ref_id"), F.col("from_file_id").alias("file_id"), "from_start_byte", "from_end_byte", bin_of("from_start_byte").alias("bin"))
     around = r.join(s, ["file_id", "bin"]).where((F.col("start_byte") <= F.col("from_start_byte")) & (F.col("from_end_byte") <= F.col("end_byte")))
     return around.groupBy("ref_id").agg(F.min_by("symbol_id", F.struct(F.col("end_byte") - F.col("start_byte"), "symbol_id")).alias("symbol_id"))
+
+
+def attributed_refs(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref_id, symbol_id): the symbol that a reference comes from.
+
+    It is found by the name of the innermost symbol around the reference: null where several symbols
+    of the file share that name, since a name alone then says nothing; references outside all symbols
+    give no row.
+    """
+    syms = rows_now(symbols).select("id", "file_id", "name")
+    named = innermost_symbols(refs, symbols).join(syms.withColumnRenamed("id", "symbol_id"), "symbol_id")
+    return named.join(unique_id(["file_id", "name"], syms, "own"), ["file_id", "name"]).select("ref_id", F.col("own_id").alias("symbol_id"))

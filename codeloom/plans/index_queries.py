@@ -85,6 +85,10 @@ def innermost_symbols(spark: SparkSession, d: str) -> DataFrame:
     return R.innermost_symbols(_refs(spark, d), _symbols(spark, d))
 
 
+def attributed_refs(spark: SparkSession, d: str) -> DataFrame:
+    return R.attributed_refs(_refs(spark, d), _symbols(spark, d))
+
+
 def callers_bfs(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d, True)[0]
 
@@ -246,7 +250,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = (
-    "files_latest file_list path_functions search_ranked symbols_in_files direct_callers report_confidence resolve_refs resolve_refs_imports innermost_symbols "
+    "files_latest file_list path_functions search_ranked symbols_in_files direct_callers report_confidence resolve_refs resolve_refs_imports innermost_symbols attributed_refs "
     "callers_bfs callees_bfs bfs_truncated bfs_edges bfs_edges_callers bfs_edges_callees tiered_layout subclasses_closure related_tests test_counts blast_radius reading_list config_touches file_history "
     "introduced_capped authors_in_order major_refactors tracked_history tracked_introduced tracked_introduced_capped tracked_authors tracked_coupling temporal_coupling deleted_files changed_files upserted_files matched_symbols set_null_refs "
     "symbol_outline import_bindings stream_files event_windows"
@@ -312,6 +316,9 @@ ORACLE = {
       FROM r LEFT JOIN here h ON h.file_id = r.from_file_id AND h.name = r.to_name LEFT JOIN anywhere a ON a.name = r.to_name""",
     "innermost_symbols": f"""WITH {_REF}, {_SYM} SELECT r.id AS ref_id, s.id AS symbol_id FROM r JOIN s ON s.file_id = r.from_file_id AND s.start_byte <= r.from_start_byte AND r.from_end_byte <= s.end_byte
       QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY s.end_byte - s.start_byte, s.id) = 1""",
+    "attributed_refs": f"""WITH {_REF}, {_SYM}, i AS (SELECT r.id AS ref_id, s.file_id, s.name FROM r JOIN s ON s.file_id = r.from_file_id AND s.start_byte <= r.from_start_byte AND r.from_end_byte <= s.end_byte
+      QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY s.end_byte - s.start_byte, s.id) = 1), u AS (SELECT file_id, name, count(*) AS n, min(id) AS id FROM s GROUP BY file_id, name)
+      SELECT ref_id, CASE WHEN u.n = 1 THEN u.id END AS symbol_id FROM i JOIN u ON u.file_id = i.file_id AND u.name = i.name""",
     "callers_bfs": f"WITH RECURSIVE {_TARGETS}, {_CALLERS} SELECT * FROM nodes",
     "callees_bfs": f"WITH RECURSIVE {_TARGETS}, {_CALLEES} SELECT * FROM nodes",
     "bfs_truncated": f"WITH RECURSIVE {_TARGETS}, {_CALLERS} SELECT root, bool_or(depth = 6 AND node IN (SELECT src FROM e)) AS truncated FROM nodes GROUP BY root",
