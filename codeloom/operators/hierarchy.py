@@ -27,10 +27,20 @@ ENDLESS = -1
 def links_of(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """Distinct links (child, parent) with one parent each; nulls are no links.
 
-    A child with several parents keeps the smallest one.
+    A child with several parents keeps the smallest one; ``dropped_links`` gives the others.
     """
+    return _pairs(edges, child, parent).groupBy("child").agg(F.min("parent").alias("parent"))
+
+
+def _pairs(edges: DataFrame, child: str, parent: str) -> DataFrame:
     e = edges.select(F.col(child).cast("long").alias("child"), F.col(parent).cast("long").alias("parent"))
-    return e.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("child").agg(F.min("parent").alias("parent"))
+    return e.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
+
+
+def dropped_links(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """The distinct links (child, parent) that ``links_of`` leaves out, since their child has a smaller parent."""
+    pairs = _pairs(edges, child, parent).distinct()
+    return pairs.join(links_of(edges, child, parent).withColumnRenamed("parent", "kept"), "child").where(F.col("parent") != F.col("kept")).select("child", "parent")
 
 
 def _contract(links: DataFrame, with_path: bool) -> tuple[list[DataFrame], DataFrame]:
@@ -111,8 +121,13 @@ def descendants(resolved: DataFrame) -> DataFrame:
     )
 
 
-def extends_links(refs: DataFrame, graph_edges: DataFrame) -> DataFrame:
-    """The ``extends`` links of both tables; equal links count once."""
+def extends_edges(refs: DataFrame, graph_edges: DataFrame) -> DataFrame:
+    """(c, p): the ``extends`` links of both tables as they are stored."""
     a = refs.where(F.col("kind") == "extends").select(F.col("from_symbol_id").alias("c"), F.col("to_symbol_id").alias("p"))
     b = graph_edges.where(F.col("ref_kind") == "extends").select(F.col("from_id").alias("c"), F.col("to_id").alias("p"))
-    return links_of(a.unionAll(b), "c", "p")
+    return a.unionAll(b)
+
+
+def extends_links(refs: DataFrame, graph_edges: DataFrame) -> DataFrame:
+    """The ``extends`` links of both tables; equal links count once."""
+    return links_of(extends_edges(refs, graph_edges), "c", "p")

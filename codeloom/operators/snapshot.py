@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: New rows that one task numbers, about.
+BUCKET_ROWS = 100_000
+
+
 def deleted_files(stored: DataFrame, walked: DataFrame) -> DataFrame:
     """Stored files whose path was not walked again."""
     return stored.join(walked.select("path").distinct(), "path", "left_anti")
@@ -20,11 +24,12 @@ def upsert_files(stored: DataFrame, walked: DataFrame) -> DataFrame:
     """The stored files after a walk: ids stay with their paths, new paths get the next ids.
 
     Expects one row per path on either side. New ids follow the path order within hash buckets,
-    so no single task orders all new files.
+    whose number follows the rows, so no single task orders all new files.
     """
     known = walked.join(stored.select("path", F.col("id").alias("old_id")), "path", "left")
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = known.where(F.col("old_id").isNull()).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(64)))
+    buckets = max(1, -(-walked.count() // BUCKET_ROWS))
+    fresh = known.where(F.col("old_id").isNull()).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)))
     sizes = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("before", F.lit(0)).alias("before"))
     order = Window.partitionBy("bucket").orderBy("path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.hierarchy import descendants, extends_links, resolve_hierarchy
+from codeloom.operators.hierarchy import descendants, dropped_links, extends_edges, extends_links, resolve_hierarchy
 from codeloom.operators.tree_agg import hot_keys, reference_key_stats
 from codeloom.session import cut, table
 
@@ -46,6 +46,11 @@ def p4_loops(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.array_min("loop").alias("loop_id"), F.explode("loop").alias("symbol_id"))
 
 
+def p4_dropped_links(spark: SparkSession, d: str) -> DataFrame:
+    """(child, parent): links of a child beyond the one that counts."""
+    return dropped_links(extends_edges(table(spark, d, "refs"), table(spark, d, "graph_edges")), "c", "p")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_per_key": p3_per_key,
@@ -54,6 +59,7 @@ QUERIES = {
     "p4_descendants": p4_descendants,
     "p4_descendants_all": p4_descendants_all,
     "p4_loops": p4_loops,
+    "p4_dropped_links": p4_dropped_links,
 }
 
 _KEYED = """
@@ -114,4 +120,7 @@ ORACLE = {
         UNION ALL
         SELECT t.start, e.parent, t.n + 1 FROM trip t JOIN endless e ON e.child = t.met WHERE t.met <> t.start AND t.n <= (SELECT count(*) FROM endless))
       SELECT min(met) AS loop_id, start AS symbol_id FROM trip GROUP BY start HAVING bool_or(met = start)""",
+    "p4_dropped_links": """
+      WITH e AS (SELECT from_symbol_id AS child, to_symbol_id AS parent FROM refs WHERE kind = 'extends' UNION SELECT from_id, to_id FROM graph_edges WHERE ref_kind = 'extends')
+      SELECT child, parent FROM e WHERE child IS NOT NULL AND parent IS NOT NULL QUALIFY parent <> min(parent) OVER (PARTITION BY child)""",
 }

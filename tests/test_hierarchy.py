@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators.hierarchy import descendants, extends_links, links_of, resolve_hierarchy
+from codeloom.operators.hierarchy import descendants, dropped_links, extends_links, links_of, resolve_hierarchy
 
 
 def brute(parent):
@@ -76,3 +76,8 @@ def test_extends_links(spark, extra):
     refs = spark.createDataFrame([(1, 2, "extends", 0), (1, 2, "extends", 0), (3, None, "extends", 0), (5, 6, "implements", 0)], "from_symbol_id long, to_symbol_id long, kind string, child long")
     edges = spark.createDataFrame([(3, 4, "extends"), (1, 2, "extends"), (7, 8, "call")], "from_id long, to_id long, ref_kind string")
     assert {tuple(r) for r in extends_links(refs if extra else refs.drop("child"), edges).collect()} == {(1, 2), (3, 4)}
+
+
+def test_links_beyond_one_parent_are_reported(spark):
+    e = spark.createDataFrame([(1, 5), (1, 4), (1, 4), (1, 9), (2, 3), (None, 1), (3, None)], "a long, b long")
+    assert sorted(map(tuple, dropped_links(e, "a", "b").collect())) == [(1, 5), (1, 9)] and dict(map(tuple, links_of(e, "a", "b").collect())) == {1: 4, 2: 3}
