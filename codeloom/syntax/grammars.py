@@ -429,12 +429,14 @@ ts: TypeArgs :: '<' Type % ',' '>' ;
 ts: ObjectType :: '{' (TypeMember (';' | ',' | ASI))* TypeMember? '}' ;
 ts: TypeMember : ('readonly' | '-' 'readonly' | '+' 'readonly' | 'get' | 'set')? ( PropName '?'? ( TypeAnn? | TypeParams? Params ReturnAnn? ) | '[' NAME ':' Type ']' TypeAnn
 ts:  | '[' NAME 'in' Type ('as' Type)? ']' (('-' | '+')? '?')? TypeAnn? ) | 'new'? TypeParams? Params ReturnAnn? ;
-jsx: Element :: '<' ( '>' Child* '<' '/' '>' | TagName Attribute* ('/' '>' | '>' Child* '<' '/' TagName '>') ) ;
+# Before text between elements nothing is passed over: there GT and RB stand for the closing marks.
+jsx: Element :: '<' ( GT Child* '<' '/' '>' | TagName Attribute* ('/' '>' | GT Child* '<' '/' TagName '>') ) ;
+jsx: Inner :: '<' ( GT Child* '<' '/' GT | TagName Attribute* ('/' GT | GT Child* '<' '/' TagName GT) ) ;
 jsx: TagName : (IDNAME | JSXID) (('.' | ':') IDNAME)*
 jsxts:  TypeArgs?
 jsx:  ;
 jsx: Attribute : (IDNAME | JSXID) (':' IDNAME)? ('=' (STR | '{' Assign '}' | Element))? | '{' '...' Assign '}' ;
-jsx: Child : JSXTEXT | Element | '{' ('...'? Expr)? '}' ;
+jsx: Child : JSXTEXT | Inner | '{' ('...'? Expr)? RB ;
 """
 
 

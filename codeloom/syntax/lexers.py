@@ -476,12 +476,15 @@ def js_lexer(text: str, jsx: bool) -> Tokens:
         elif which == 2:
             word = m[2]
             number = plain[word]
-            if c in "<>/}" and (c in "/}" or len(word) > 1):
+            if c in "<>/}" and (c in "/}" or len(word) > 1 or jsx and c == ">"):
                 kinds, ends = [word], [after]
-                if c in "<>":
+                if c in "<>" and len(word) > 1:
                     kinds.append(c)
                     ends.append(at + 1)
-                elif c == "}" and templates:
+                if jsx and c in ">}":  # text may begin right behind
+                    kinds.append("GT" if c == ">" else "RB")
+                    ends.append(at + 1)
+                if c == "}" and templates:
                     if not ahead[0] <= end <= ahead[1]:
                         t = _JS_TREST.match(text, end)
                         first = _JS_SPECIAL.search(text, end)
@@ -493,7 +496,7 @@ def js_lexer(text: str, jsx: bool) -> Tokens:
         else:
             number = plain[_JS_PLAIN[which]]
             templates |= which == 6
-        if jsx and at and text[behind.get(at, at) - 1] in ">}":
+        if jsx and at and text[at - 1] in ">}":
             kinds = list(OFFERS[number])
             return more(at, c, kinds, [after] * len(kinds))
         if broken[at]:
@@ -512,7 +515,7 @@ def js_lexer(text: str, jsx: bool) -> Tokens:
         if broken[at] or c == "}":
             kinds.append("ASI")
             ends.append(at)
-        if jsx and at and text[behind.get(at, at) - 1] in ">}" and (t := _JS_JSXTEXT.match(text, at)):
+        if jsx and at and text[at - 1] in ">}" and (t := _JS_JSXTEXT.match(text, at)):
             kinds.append("JSXTEXT")
             ends.append(t.end())
         offers[at] = number = offer(tuple(kinds))

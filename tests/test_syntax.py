@@ -271,6 +271,10 @@ ALLOWED = {
         '#![a]\n#[b(c)]\nfn f(#[d] x: u8) { #[e] let a = 1; #[f] { } #[cfg(x)] g(); a.b = |x| x; let f: fn(u8) -> u8 = g; let b: Box<dyn Fn() + Send> = h; if (S { a: 1 } == b) { } }',
     ],
 }
+ALLOWED["tsx"] = [
+    "x = <a>// no comment</a>", "x = <a>it's {n} // http://x </a>;\ny = 1", "x = <a>\n  <b/>\n  {/* c */} text\n  {...xs}\n</a>\n// end", "x = <></>", "x = <a b={c > d} e='f'>{g && <h>i</h>} j</a> || k", "f(<a/>, <b>{`t${1}`}</b>)",
+    "const f = <T,>(x: T) => <p key={x}>{x}</p>", "x = a > b ? <c/> : null", "x = (\n  <a>\n    {xs.map((x) => (\n      <b key={x}>{x}</b>\n    ))}\n  </a>\n)", "x = <a.b c:d='e' f-g />",
+]
 FORBIDDEN = {
     'py': [
         'f(a=1, b)',
@@ -382,6 +386,8 @@ FORBIDDEN = {
     ],
 }
 
+FORBIDDEN["tsx"] = ["x = <a>{b</a>", "x = <a>b", "x = <a></a", "x = <a b=></a>", "x = <a>}</a>", "x = <a>></a>", "x = <a></b c>"]
+
 
 @pytest.mark.parametrize("path", GOOD)
 def test_valid(path):
