@@ -67,23 +67,35 @@ def expand(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, bucke
     return reduce(DataFrame.unionByName, reached)
 
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+#: How many times the edges the pairs may be that ``closure`` steps over at once.
+JUMP_GROWTH = 32
+
+
+def closure(edges: DataFrame, roots: DataFrame, growth: int = JUMP_GROWTH) -> DataFrame:
     """(root, node): everything that can be reached from each root, the root itself only over a cycle.
 
-    Doubling: ``jumps`` holds the pairs that walks of exactly 2^k edges join (in a tree at most one
-    per node), so after k rounds all nodes within 2^k edges are known. The loop ends when a round finds
-    nothing new, after about log2 of the longest chain.
+    First the steps are made longer by doubling: ``jumps`` holds the pairs within 2^k edges, and k grows
+    while the pairs stay within ``growth`` times the edges (a counted bound, since dense graphs have very
+    many pairs). Then the frontier of the roots moves by whole jumps until it finds nothing new.
     """
     jumps = cut(edges.select("src", "dst").distinct())
-    reached = cut(roots.select("root").distinct().join(jumps.withColumnRenamed("src", "root"), "root").select("root", F.col("dst").alias("node")))
+    n_edges = n = jumps.count()
+    while n:
+        by = jumps.select("src", F.col("dst").alias("by")).join(jumps.select(F.col("src").alias("by"), "dst"), "by").select("src", "dst")
+        wider = cut(jumps.unionByName(by).distinct())
+        m = wider.count()
+        if m == n or m > growth * n_edges:
+            break
+        jumps, n = wider, m
+    near = adjacency(jumps)
+    frontier = cut(near.step(roots.select("root").distinct().select("root", F.col("root").alias("node"))))
+    reached = [frontier]
     while True:
-        found = reached.join(jumps, reached["node"] == jumps["src"]).select("root", F.col("dst").alias("node")).distinct()
-        found = cut(found.join(reached, ["root", "node"], "left_anti"))
-        if found.isEmpty():
-            return reached
-        reached = cut(reached.unionByName(found).repartition("node"))
-        far = jumps.select("src", F.col("dst").alias("by")).join(jumps.select(F.col("src").alias("by"), "dst"), "by")
-        jumps = cut(far.select("src", "dst").distinct())
+        known = reduce(DataFrame.unionByName, reached)
+        frontier = cut(near.step(frontier).join(known, ["root", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return known
+        reached = [*reached, frontier] if len(reached) < 8 else [cut(known.unionByName(frontier))]
 
 
 def truncated(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
