@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.cooccurrence import co_occurrence, coupled_files, touched_files
 from codeloom.llm.doc_pairs import code_pairs, described_functions
-from codeloom.llm.handwritten import mined_patterns, not_handwritten
+from codeloom.llm.handwritten import not_handwritten
 from codeloom.llm.mixing import mix_documents
 from codeloom.llm.parse_check import syntax_flags, syntax_rates
 from codeloom.llm.sentences import sentence_units
