@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.model import INHERITANCE, rows_now
+from codeloom.model import INHERITANCE
 from codeloom.session import cut
 
 MAX_DEPTH = 6
