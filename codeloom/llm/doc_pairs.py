@@ -1,6 +1,7 @@
 """Functions and methods paired with what their documentation says.
 
-Every source text is parsed; the function nodes of its tree are visited for their exact ranges and
+Every source text is parsed (but where it lacks the words without which the grammar of its language
+makes no function); the function nodes of its tree are visited for their exact ranges and
 the documentation attached to them (the comment above, or the first string of a Python body). A
 node is one with the symbol of the index that has its file and range. A description is the
 documentation without comment marks, markup and lines that say nothing: tags and parameter names without text, directives for
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.parse_check import no_cycles, spread_texts
 from codeloom.syntax.grammars import dialects_of
-from codeloom.syntax.tree import functions, parse
+from codeloom.syntax.tree import functions, may_have_functions, parse
 
 #: Words that carry no content in a description (fixed list).
 EMPTY_WORDS = frozenset(
@@ -43,6 +44,10 @@ _TAG = re.compile(
 )
 _PARAM = re.compile(r"(?i)^(?:[-*+]\s*)?(?:\{?@(?:param|arg|argument|throws|exception|typeparam)\}?(?:\s*\{[^}]*\})?\s+[\[\w.$\]=]+|:(?:param|type|raises|arg)(?:\s+[\w., ]+)?\s+\w+:|`[\w.$]+`)\s*(?:[-:–—]\s*)?(?P<rest>.*)$")
 _CODE = re.compile(r"^[\w.:<>]+\([^()]*\)\s*;?$|^[\w.]+\s*(?:=|:=|\+=)\s*\S+;?$|;\s*$(?<=[)\]}];)")
+_ELEMENT = re.compile(r"</?[A-Za-z][^<>]*>")
+_LETTER = re.compile(r"\w")
+_RULER = re.compile(r"([-=~*#_.+/\\|])\1*\s*[\w ]{0,20}\s*([-=~*#_.+/\\|])\2+")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 
@@ -53,17 +58,19 @@ def clean_lines(doc: str) -> list[str]:
     for line in doc.replace("\r\n", "\n").split("\n"):
         before = None
         line = line.strip()
-        while before != line:
+        while before != line and line and (line[0] in "/*#\"'" or line[-1] in "/\"'"):
             before, line = line, _MARKS.sub("", line).strip()
-        line = re.sub(r"</?[A-Za-z][^<>]*>", " ", line).strip()
-        if re.search(r"\w", line) and not re.fullmatch(r"([-=~*#_.+/\\|])\1*\s*[\w ]{0,20}\s*([-=~*#_.+/\\|])\2+", line):
+        if "<" in line:
+            line = _ELEMENT.sub(" ", line).strip()
+        if _LETTER.search(line) and not (line[0] in "-=~*#_.+/\\|" and _RULER.fullmatch(line)):
             out.append(line)
     return out
 
 
-def content_words(lines: list[str], name: str) -> int:
-    """How many words of content the lines hold beyond the name of the symbol."""
-    own = {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+", name)}
+def content_words(lines: list[str], name: str, enough: int | None = None) -> int:
+    """How many words of content the lines hold beyond the name of the symbol; not counted on where
+    there are ``enough``."""
+    own = {w.lower() for w in _NAME_PART.findall(name)}
     own |= {name.lower(), *(w + "s" for w in own)}
     count = 0
     for line in lines:
@@ -76,7 +83,9 @@ def content_words(lines: list[str], name: str) -> int:
             low = w.lower()
             if low in own or low in EMPTY_WORDS:
                 continue
-            count += max(1, len(w) // 2) if _WIDE.search(w) else 1
+            count += 1 if w.isascii() or not _WIDE.search(w) else max(1, len(w) // 2)
+            if enough is not None and count >= enough:
+                return count
     return count
 
 
@@ -85,7 +94,7 @@ def describe(doc: str | None, name: str | None, least: int = 3) -> str | None:
     if not doc or not doc.strip():
         return None
     lines = clean_lines(doc)
-    return "\n".join(lines) if content_words(lines, name or "") >= least else None
+    return "\n".join(lines) if content_words(lines, name or "", least) >= least else None
 
 
 _SPAN = ["file_id", "start_byte", "end_byte"]
@@ -117,6 +126,8 @@ def function_nodes(sources: DataFrame, with_code: bool = True) -> DataFrame:
             with no_cycles():
                 for file_id, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
                     for dialect in dialects_of(path):
+                        if not may_have_functions(dialect, text):
+                            continue
                         found = functions(parse(dialect, text))
                         byte = _byte_places(text, [x for a, z, _ in found for x in (a, z)])
                         for a, z, doc in found:
