@@ -111,27 +111,46 @@ def _byte_places(text: str, places: list[int]) -> dict[int, int]:
     return out
 
 
+#: Characters of texts whose nodes a task keeps for their copies.
+_KEPT = 1 << 24
+
+
+def _nodes(dialect: str, text: str, with_code: bool) -> list[tuple]:
+    """(begin, end, documentation, code on request) of the function nodes of a text; places are UTF-8 offsets."""
+    if not may_have_functions(dialect, text):
+        return []
+    found = functions(parse(dialect, text))
+    byte = _byte_places(text, [x for a, z, _ in found for x in (a, z)])
+    return [(byte[a], byte[z], doc, text[a:z])[: 3 + with_code] for a, z, doc in found]
+
+
 def function_nodes(sources: DataFrame, with_code: bool = True) -> DataFrame:
     """(file_id, start_byte, end_byte, doc, code): the function and method nodes of all source texts.
 
     doc is the attached documentation with its marks, null without any; code is the exact text of
     the node, left out on request. A text that its language rejects keeps the nodes that were
-    recognised. Null and blank texts have none; repeated rows of a file count once per node.
+    recognised. Null and blank texts have none; repeated rows of a file count once per node. Copies
+    of a text that a task meets are parsed once.
     """
     schema = "file_id long, start_byte int, end_byte int, doc string" + ", code string" * with_code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], list[tuple]] = {}
+        kept = 0
         for b in batches:
             cols: list[list] = [[] for _ in range(4 + with_code)]
             with no_cycles():
                 for file_id, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
                     for dialect in dialects_of(path):
-                        if not may_have_functions(dialect, text):
-                            continue
-                        found = functions(parse(dialect, text))
-                        byte = _byte_places(text, [x for a, z, _ in found for x in (a, z)])
-                        for a, z, doc in found:
-                            for col, value in zip(cols, (file_id, byte[a], byte[z], doc, text[a:z] if with_code else None)):
+                        found = known.get((dialect, text))
+                        if found is None:
+                            kept += len(text)
+                            if kept > _KEPT:
+                                known.clear()
+                                kept = len(text)
+                            found = known[dialect, text] = _nodes(dialect, text, with_code)
+                        for node in found:
+                            for col, value in zip(cols, (file_id, *node)):
                                 col.append(value)
             types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*_SPAN, "doc", "code"][: len(cols)])

@@ -20,14 +20,16 @@ from codeloom.syntax.grammars import is_valid
 
 
 def spread_texts(sources: DataFrame) -> DataFrame:
-    """The source files of ``sources`` with a non-null text: file_id, path, language, content.
+    """The source files of ``sources`` with a non-null text: file_id, path, language, content, and a
+    hash of the text.
 
     Parsing costs far more than moving a text once, and a split may hold very many texts, so rows
     are spread by one shuffle. Adaptive execution sizes its partitions by their bytes, merging
-    small and splitting large ones, so a task holds a bounded amount of text at any size.
+    small and splitting large ones, so a task holds a bounded amount of text at any size. Copies of a
+    text come together.
     """
-    src = sources.select("file_id", "path", language_of(F.col("path")).alias("language"), "content")
-    return src.where(F.col("language").isNotNull() & F.col("content").isNotNull()).hint("rebalance", "file_id", "path")
+    src = sources.select("file_id", "path", language_of(F.col("path")).alias("language"), "content", F.xxhash64("content").alias("hash"))
+    return src.where(F.col("language").isNotNull() & F.col("content").isNotNull()).hint("rebalance", "hash")
 
 
 @contextmanager
